@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photoloom.functions.keys import place_key
+from photoloom.functions.sql import place_sql
 from photoloom.operators.integrity import Reference, orphan_references, orphan_report
 from photoloom.session import table
 
@@ -34,16 +35,6 @@ def queries() -> dict:
     return {"p2_found": p2_found, "p2_report": p2_report}
 
 
-PLACE_MACRO = r"""
-nullif(lower(trim(regexp_replace('/' || replace(regexp_replace(nfc_normalize({0}), '^\s+|\s+$', '', 'g'), '\', '/') || '/', '/(?:\.?/)+', '/', 'g'), '/')), '')
-"""
-
-
-def place_sql(column: str) -> str:
-    """DuckDB text of the place key."""
-    return PLACE_MACRO.format(column).strip()
-
-
 _ORPHANS = f"""
 WITH photos AS (SELECT {place_sql('path')} AS place, scanned_at, deleted_at FROM photo_info),
 images AS (SELECT image_id, {place_sql('path')} AS place, consolidated_at FROM master_gallery_images),
