@@ -64,10 +64,10 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
         """Writes ``df`` and returns the table read back."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
