@@ -35,6 +35,17 @@ FROM groups LEFT JOIN dims d USING (content) LEFT JOIN sizes s USING (content) L
 SELECT content AS group_key, group_id, n_rows, coalesce(d.photo_id, -1) AS dims_id, width, height, coalesce(s.photo_id, -1) AS size_id, size,
   coalesce(t.photo_id, -1) AS time_id, capture_time
 FROM groups LEFT JOIN dims d USING (content) LEFT JOIN sizes s USING (content) LEFT JOIN times t USING (content)""",
+    "p4_found": f"""
+WITH photos AS (SELECT photo_id, batch_id, {content_sql('sha256')} AS content, {place_sql('relpath')} AS place,
+    CASE WHEN len(phash) = 4 AND (phash[1] <> 0 OR phash[2] <> 0 OR phash[3] <> 0 OR phash[4] <> 0) THEN phash END AS h FROM photo_info),
+hashes AS (SELECT batch_id, h, h[1] AS a, h[2] AS b, h[3] AS c, h[4] AS d, min(photo_id) AS photo_id FROM photos WHERE h IS NOT NULL GROUP BY ALL),
+near AS (SELECT n.batch_id, n.h, min(o.photo_id) AS first FROM hashes n JOIN hashes o
+  ON o.batch_id < n.batch_id AND bit_count(xor(n.a, o.a))::INT + bit_count(xor(n.b, o.b))::INT + bit_count(xor(n.c, o.c))::INT + bit_count(xor(n.d, o.d))::INT <= 6 GROUP BY ALL),
+firsts AS (
+  SELECT n.photo_id, min(o.photo_id) AS first FROM photos n JOIN photos o ON o.content = n.content AND o.batch_id < n.batch_id GROUP BY ALL
+  UNION ALL SELECT n.photo_id, min(o.photo_id) FROM photos n JOIN photos o ON o.place = n.place AND o.batch_id < n.batch_id GROUP BY ALL
+  UNION ALL SELECT p.photo_id, near.first FROM photos p JOIN near ON near.h = p.h AND near.batch_id = p.batch_id)
+SELECT min(first) AS first_photo_id, photo_id FROM firsts GROUP BY photo_id""",
     "p6_found": f"""
 WITH RECURSIVE photos AS (SELECT photo_id, {place_sql('path')} AS place FROM photo_info),
 places AS (SELECT place, min(photo_id) AS v FROM photos WHERE place IS NOT NULL GROUP BY place),

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from photoloom.functions.keys import category_key, content_key, place_key
 from photoloom.llm.components import link_groups
 from photoloom.llm.consensus import Field, best_fields, consensus_text
+from photoloom.llm.history import matches_in_batches, signatures
+from photoloom.llm.leaks import leaked_items
+from photoloom.llm.tokenizer import VOCABULARY, encode_corpus
 from photoloom.llm.topn import top_n_per_group
 from photoloom.session import table
 
@@ -49,14 +52,42 @@ def p3_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return consensus_text(photos, content_key(F.col("sha256")), F.col("relpath"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    signed = signatures(table(spark, sf, "photo_info"), "photo_id", "batch_id", content_key(F.col("sha256")), place_key(F.col("relpath")), F.col("phash"))
+    return matches_in_batches(signed).select(F.col("first_id").alias("first_photo_id"), F.col("row_id").alias("photo_id"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     photos = table(spark, sf, "photo_info").select("photo_id", place_key(F.col("path")).alias("place"))
     links = table(spark, sf, "photo_matches").where("is_match").select(place_key(F.col("path_a")).alias("a"), place_key(F.col("path_b")).alias("b"))
     return link_groups(photos, "photo_id", "place", links, "a", "b")
 
 
+def p7_ids(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"), "doc_id", "text", vocabulary)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text")
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Where in the original text each leaked stretch lies."""
+    return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text", spans=True)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_best": p3_best, "p3_consensus": p3_consensus, "p6_found": p6_found}
+    return {
+        "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_best": p3_best,
+        "p3_consensus": p3_consensus,
+        "p4_found": p4_found,
+        "p6_found": p6_found,
+        "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_spans": p8_spans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
