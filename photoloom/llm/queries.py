@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from photoloom.functions.keys import category_key, content_key, place_key
 from photoloom.llm.components import link_groups
 from photoloom.llm.consensus import Field, best_fields, consensus_text
+from photoloom.llm.diverse import varied_subset
 from photoloom.llm.history import matches_in_batches, signatures
 from photoloom.llm.leaks import leaked_items
+from photoloom.llm.subjects import UNCLEAR, Model, assign_subjects, fit_subjects
 from photoloom.llm.tokenizer import VOCABULARY, encode_corpus
 from photoloom.llm.topn import top_n_per_group
 from photoloom.session import table
@@ -57,6 +59,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return matches_in_batches(signed).select(F.col("first_id").alias("first_photo_id"), F.col("row_id").alias("photo_id"))
 
 
+def p5_subset(spark: SparkSession, sf: str) -> DataFrame:
+    images = table(spark, sf, "master_gallery_images").select("image_id", "primary_master_category", "year", "cluster_id")
+    sizes = {r["request_id"]: r["subset_size"] for r in table(spark, sf, "subset_requests").collect()}  # a fixed table of requests
+    cluster = F.when(F.col("cluster_id").isNotNull(), F.struct("year", "cluster_id"))
+    features = {"category": (category_key(F.col("primary_master_category")), 1.0), "year": (F.col("year"), 0.7), "cluster": (cluster, 0.5)}
+    return varied_subset(images, "image_id", features, sizes)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     photos = table(spark, sf, "photo_info").select("photo_id", place_key(F.col("path")).alias("place"))
     links = table(spark, sf, "photo_matches").where("is_match").select(place_key(F.col("path_a")).alias("a"), place_key(F.col("path_b")).alias("b"))
@@ -76,6 +86,24 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text", spans=True)
 
 
+def subject_model(spark: SparkSession, sf: str) -> Model:
+    areas = [r["subject"] for r in table(spark, sf, "subject_areas").select("subject").collect()]  # a fixed table of codes
+    labels = table(spark, sf, "subject_labels").select("doc_id", category_key(F.col("subject")).alias("subject"))
+    return fit_subjects(table(spark, sf, "documents"), "doc_id", "text", labels, "doc_id", "subject", sorted(set(areas) - {UNCLEAR}))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return assign_subjects(table(spark, sf, "documents"), "doc_id", "text", subject_model(spark, sf)).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and characters of the corpus by subject; a document of several subjects counts for each."""
+    docs = table(spark, sf, "documents")
+    subjects = assign_subjects(docs, "doc_id", "text", subject_model(spark, sf))
+    sized = docs.select("doc_id", F.length("text").alias("chars"))
+    return subjects.join(sized, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("chars", F.lit(0))).alias("n_chars"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -83,10 +111,13 @@ def queries() -> dict:
         "p3_best": p3_best,
         "p3_consensus": p3_consensus,
         "p4_found": p4_found,
+        "p5_subset": p5_subset,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
+        "p9_found": p9_found,
+        "p9_composition": p9_composition,
     }
 
 
