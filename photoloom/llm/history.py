@@ -118,13 +118,14 @@ class HistoryIndex:
         own = ["kind", *_WORDS]
         if not self._held:
             return entries.select(*own, F.col("first").alias("matched")).limit(0)
-        history = self.spark.table(self.keys).withColumnRenamed("first", "h_first")
+        history = self.spark.table(self.keys).select("key", F.col("band").alias("h_band"), F.col("check").alias("h_check"), F.col("first").alias("h_first"))
         new = self._keyed(entries).drop("first")
-        on = ["key", "band", "check"]
         cold = new
         if self._hot is not None:
             cold = new.join(F.broadcast(self._hot), ["key", "band"], "left_anti")
-        found = cold.hint("shuffle_hash").join(history, on).select(*own, "h_first")
+        # The key is the only equality, so that the buckets serve the join; the rest is one residual condition.
+        same = F.col("band").bitwiseXOR(F.col("h_band")).cast("long").bitwiseOR(F.col("check").bitwiseXOR(F.col("h_check"))) == 0
+        found = cold.hint("shuffle_hash").join(history, (cold["key"] == history["key"]) & same).select(*own, "h_first")
         exact = found.where("kind < 2").select(*own, F.col("h_first").alias("matched"))
         near = found.where("kind = 2")
         if self._hot is not None:
