@@ -1,11 +1,403 @@
-"""Queries over the operators of the reference's dataflows."""
+"""Queries over the operators of the photo curation dataflows, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photoloom.functions.keys import place_key
+from photoloom.functions.text import (
+    base_name,
+    cache_key,
+    clean_prompt,
+    display_name,
+    first_folder,
+    hits,
+    join_fields,
+    normalize,
+    review_id,
+    safe,
+    search_prompt,
+    slug,
+    split_list,
+    stem_key,
+    suffix,
+    tokens,
+)
+from photoloom.operators import dedupe, reports, scoring, search, themes
+from photoloom.plans.evidence import KEYWORDS, evidence_of, score_evidence, second_categories
+from photoloom.plans.sql import SQL
+from photoloom.session import table
+
+#: Vectors that stand for search words and for prompts: the first of the table.
+N_QUERIES, N_PROMPTS, DIM = 5, 24, 64
+#: Prompts in their order. Fixed values.
+PROMPTS = (
+    "a coastal landscape photograph",
+    "a harbour or port scene with boats",
+    "a countryside landscape photograph",
+    "a woodland or forest scene",
+    "a waterside or river scene",
+    "a beach or shoreline photograph",
+    "a village, town, or street scene photograph",
+    "an old building or historic architecture photograph",
+    "a dramatic sky photograph",
+    "a sunset or sunrise photograph",
+    "a misty or foggy landscape photograph",
+    "a stormy weather photograph",
+    "a moody atmospheric landscape photograph",
+    "a photograph where light and weather create the mood",
+    "a flower or plant close-up photograph",
+    "a macro or texture detail photograph",
+    "a garden photograph",
+    "a tree or foliage photograph",
+    "a bird or wildlife photograph",
+    "a farm animal photograph",
+    "a pet photograph",
+    "a people or group photograph",
+    "a portrait of one person",
+    "an indoor scene photograph",
+)
+
+
+def gallery(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "master_gallery_images")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*[F.lit(p) for p in PROMPTS])
+    return vectors(spark, sf).where(F.col("vec_id") < N_PROMPTS).select(F.col("vec_id").alias("prompt_id"), F.col("embedding").alias("vector"), F.element_at(names, (F.col("vec_id") + 1).cast("int")).alias("prompt"))
+
+
+def words_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+# --- search -------------------------------------------------------------------------------------------------------
+
+
+def search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top_k(vectors(spark, sf), "vec_id", "embedding", words_queries(spark, sf), "query_id", "vector", 20)
+
+
+def search_min_score(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top_k(vectors(spark, sf), "vec_id", "embedding", words_queries(spark, sf), "query_id", "vector", 200, min_score=0.2)
+
+
+def search_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return search.result_counts(search_min_score(spark, sf), "query_id")
+
+
+def search_score_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return search.score_columns(search_topk(spark, sf), "vec_id", "query_id", {i: f"q{i}" for i in range(N_QUERIES)})
+
+
+def search_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    themes_ = gallery(spark, sf).select(F.col("theme_name").alias("query")).distinct()
+    return themes_.select("query", search_prompt(F.col("query")).alias("prompt"), slug(F.col("query")).alias("slug"))
+
+
+def embedding_todo(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of later scans that the manifest of the first one doesn't hold unchanged."""
+    files = table(spark, sf, "photo_info").select("photo_id", "batch_id", place_key(F.col("path")).alias("place"), F.coalesce("size", F.lit(-1).cast("long")).alias("size"), F.date_trunc("second", "mtime").alias("mtime"))
+    cached = files.where("batch_id = 0")
+    return search.unscored(files.where("batch_id > 0"), cached, ["place", "size", "mtime"]).select("photo_id")
+
+
+# --- themes -------------------------------------------------------------------------------------------------------
+
+
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    c = themes.centroids(vectors(spark, sf), "label", "embedding", DIM)
+    return c.select("label", "n", F.transform("centroid", lambda x: F.round(x, 4)).alias("centroid"))
+
+
+def cluster_top_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    c = themes.centroids(vectors(spark, sf), "label", "embedding", DIM)
+    return themes.top_prompts(c, "label", prompts(spark, sf), "prompt_id", "vector")
+
+
+def cluster_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    return themes.representatives(v, "vec_id", "label", "embedding", themes.centroids(v, "label", "embedding", DIM))
+
+
+def cluster_misc_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return themes.merge_small(vectors(spark, sf).select("vec_id", "label"), "label", 50).select("vec_id", "label", "theme_cluster")
+
+
+def cluster_average_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    return themes.cluster_average_linkage(vectors(spark, sf), "vec_id", "embedding", ["label"], 0.9)
+
+
+def theme_table(spark: SparkSession, sf: str) -> DataFrame:
+    folder = F.concat(F.lit("folder "), (F.col("vec_id") % 7).cast("string"))
+    return themes.theme_table(vectors(spark, sf), "vec_id", "label", "embedding", folder, prompts(spark, sf), "prompt_id", "vector", "prompt", DIM)
+
+
+def dominant_folder(spark: SparkSession, sf: str) -> DataFrame:
+    return themes.dominant(gallery(spark, sf), ["year", "cluster_id"], first_folder(safe(F.col("relative_path"))), F.col("image_id")).select("year", "cluster_id", F.col("value").alias("folder"), "n")
+
+
+# --- duplicates ---------------------------------------------------------------------------------------------------
+
+
+def photos(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.inventory(table(spark, sf, "photo_info"))
+
+
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    p = photos(spark, sf)
+    return dedupe.group_rows(dedupe.exact_groups(p), p)
+
+
+def exact_keepers(spark: SparkSession, sf: str) -> DataFrame:
+    p = photos(spark, sf)
+    return dedupe.keepers(dedupe.exact_groups(p), p)
+
+
+def near_pairs_time_window(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.near_pairs_in_time(photos(spark, sf))
+
+
+def near_pairs_same_key(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.near_pairs_by_stem(photos(spark, sf))
+
+
+def near_components(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.near_groups(photos(spark, sf))
+
+
+def near_minus_exact(spark: SparkSession, sf: str) -> DataFrame:
+    p = photos(spark, sf)
+    return dedupe.near_minus_exact(dedupe.near_groups(p), dedupe.exact_groups(p))
+
+
+def gallery_excludes(spark: SparkSession, sf: str) -> DataFrame:
+    p = photos(spark, sf)
+    exact = dedupe.exact_groups(p)
+    near = dedupe.near_minus_exact(dedupe.near_groups(p), exact)
+    return dedupe.excludes(exact, p).union(dedupe.excludes(near, p)).distinct()
+
+
+def dedupe_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = photos(spark, sf)
+    exact = dedupe.exact_groups(p)
+    near = dedupe.near_minus_exact(dedupe.near_groups(p), exact)
+    return dedupe.dedupe_summary(p, exact, near, dedupe.excludes(exact, p).union(dedupe.excludes(near, p)).distinct())
+
+
+def greedy_unique(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.greedy_unique(table(spark, sf, "photo_info"), "photo_id", "photo_id", "phash", 5).select("photo_id")
+
+
+def greedy_top(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.greedy_unique(table(spark, sf, "photo_info"), "photo_id", "photo_id", "phash", 10, top_n=50).select("photo_id")
+
+
+def exclude_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Inventory files that are no keeper's copies, by relative path."""
+    return photos(spark, sf).select("photo_id", "relpath").join(gallery_excludes(spark, sf), "relpath", "left_anti").select("photo_id")
+
+
+def scan_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by kind and by whether a scan would pass them over."""
+    path = F.col("path")
+    ignored = F.startswith(base_name(path), F.lit(".")) | F.lower(path).rlike("metadata|preview|thumbnail|sidecar")
+    kind = F.when(suffix(path).isin(*dedupe.RAW), "raw").when(suffix(path).isin(*dedupe.RENDERED, *dedupe.OTHER_IMAGES), "image").otherwise("other")
+    return table(spark, sf, "photo_info").groupBy(suffix(path).alias("suffix"), kind.alias("kind"), ignored.alias("ignored")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(stem_key(path)).alias("n_stems"), F.sum(dedupe.name_score(path)).alias("name_score"))
+
+
+# --- text ---------------------------------------------------------------------------------------------------------
+
+
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return gallery(spark, sf).select("image_id", normalize(F.col("display_theme_name")).alias("theme"), normalize(F.col("archive_relative_path")).alias("path"))
+
+
+def token_hits(spark: SparkSession, sf: str) -> DataFrame:
+    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    words = gallery(spark, sf).select("image_id", tokens(text).alias("w"))
+    return words.select("image_id", F.size("w").cast("long").alias("n_words"), *[hits(F.col("w"), k).cast("long").alias(slug_name(c)) for c, k in KEYWORDS.items()])
+
+
+def slug_name(category: str) -> str:
+    return "_".join("".join(ch if ch.isalnum() else " " for ch in category.lower()).split())
+
+
+def prompt_label_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts(spark, sf).select("prompt_id", clean_prompt(F.col("prompt")).alias("label"), normalize(F.col("prompt")).alias("normal"))
+
+
+def display_theme_names(spark: SparkSession, sf: str) -> DataFrame:
+    g = gallery(spark, sf).where("cluster_id is not null")
+    return g.select("image_id", display_name(F.col("theme_top_label_1"), F.col("theme_top_label_2"), first_folder(safe(F.col("relative_path"))), F.col("cluster_id")).alias("name"))
+
+
+def text_ids(spark: SparkSession, sf: str) -> DataFrame:
+    g = gallery(spark, sf)
+    return g.select(
+        "image_id", review_id(F.col("path"), F.col("archive_relative_path"), F.col("relative_path"), F.col("image_id")).alias("review_id"), slug(F.col("theme_name"), "-", "model", 12).alias("slug"), cache_key(F.lit("clip"), F.col("theme_name")).alias("cache_key"), F.size(split_list(safe(F.col("review_flags")))).cast("long").alias("n_flags")
+    )
+
+
+# --- evidence -----------------------------------------------------------------------------------------------------
+
+
+def evidence_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    s = score_evidence(gallery(spark, sf))
+    return s.select("image_id", F.col("category"), F.col("confidence"), F.array_join("flags", ", ").alias("flags"), F.coalesce(F.element_at("evidence", "Landscape"), F.lit(0.0)).alias("landscape"), F.size("evidence").cast("long").alias("n_evidence"))
+
+
+def secondary_categories(spark: SparkSession, sf: str) -> DataFrame:
+    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    return gallery(spark, sf).select("image_id", F.array_join(second_categories(F.col("primary_master_category"), tokens(text)), ", ").alias("secondary"))
+
+
+def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return gallery(spark, sf).select("image_id", evidence_of(F.col("mapping_evidence"), F.coalesce("primary_master_category", F.lit(""))).alias("score"))
+
+
+# --- reports ------------------------------------------------------------------------------------------------------
+
+
+def category_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.category_summary(gallery(spark, sf), "image_id")
+
+
+def mapping_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.mapping_diagnostics(gallery(spark, sf))
+
+
+def theme_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.theme_matrix(gallery(spark, sf))
+
+
+def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.audit_sample(gallery(spark, sf), "image_id").select("primary_master_category", "rank", "image_id")
+
+
+def gallery_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.gallery_metrics(gallery(spark, sf))
+
+
+def flag_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.reason_counts(gallery(spark, sf), "review_flags")
+
+
+def flagged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return gallery(spark, sf).where("review_flags <> ''").select("image_id", "year", "primary_master_category", "review_flags")
+
+
+def union_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The yearly tables put together again by name, one of them without a column."""
+    g = gallery(spark, sf).select("image_id", "year", "theme_name", "thumb")
+    old, new = g.where("year < '2015'").drop("thumb"), g.where("year >= '2015'")
+    both = old.unionByName(new, allowMissingColumns=True)
+    return both.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("thumb").alias("n_thumbs"), F.countDistinct("theme_name").alias("n_themes"))
+
+
+# --- evaluation and review ----------------------------------------------------------------------------------------
+
+
+def evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    gold = table(spark, sf, "gold_labels_v1").select("gold_id", F.trim(safe(F.col("path"))).alias("path_key"), "correct_category")
+    predicted = gallery(spark, sf).select(F.trim(F.col("path")).alias("path_key"), "image_id", F.col("primary_master_category").alias("predicted_category"), "mapping_confidence")
+    return reports.evaluate(gold, predicted, "path_key")
+
+
+def gold_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluated(spark, sf).select("gold_id", "image_id", "correct_category", "predicted_category", "is_matched", "is_correct")
+
+
+def gold_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.accuracy(evaluated(spark, sf))
+
+
+def gold_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.confusion(evaluated(spark, sf))
+
+
+def gold_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.error_patterns(evaluated(spark, sf))
+
+
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.review_rows(gallery(spark, sf), "image_id")
+    return rows.select("image_id", "review_id", "review_bucket", "review_priority", "year", "mapping_confidence", safe(F.col("review_flags")).alias("review_flags"))
+
+
+def review_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.review_rows(gallery(spark, sf), "image_id")
+    return reports.review_page(rows, ["review_bucket", "year"], "image_id", 20).select("review_bucket", "year", "card", "image_id")
+
+
+def review_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.review_metrics(reports.review_rows(gallery(spark, sf), "image_id"))
+
+
+def review_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Images whose latest consolidation run put them into the best bucket, taken as decisions."""
+    g = gallery(spark, sf)
+    decisions = g.select("path", F.col("consolidated_at").alias("reviewed_at"), F.when(F.startswith("review_bucket", F.lit("01")), "keep").otherwise("maybe").alias("decision"))
+    return reports.decided(g, decisions.where("path is not null"), "path", "keep").select("image_id")
+
+
+# --- culling scores -----------------------------------------------------------------------------------------------
+
+
+def prompt_vectors(spark: SparkSession, sf: str) -> list[list[float]]:
+    return [list(r["vector"]) for r in prompts(spark, sf).orderBy("prompt_id").collect()]  # N_PROMPTS rows
+
+
+def pair_softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v, p = vectors(spark, sf), prompt_vectors(spark, sf)
+    for mode, pairs in scoring.MODES.items():
+        v = scoring.signals(v, "embedding", p, pairs).withColumn(mode, F.bround(scoring.mode_score(mode), 4)).drop(*pairs)
+    return v.select("vec_id", *scoring.MODES)
+
+
+def _stock(spark: SparkSession, sf: str) -> DataFrame:
+    names = [*scoring.POSITIVE, *scoring.PENALTY]
+    return scoring.signals(vectors(spark, sf), "embedding", prompt_vectors(spark, sf), {n: (i, i + 12) for i, n in enumerate(names)})
+
+
+def stock_score(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _stock(spark, sf).withColumn("score", scoring.stock_score()).where(F.col("score") >= 0.35)
+    return scored.select("vec_id", F.bround("score", 4).alias("score"), *[F.bround(n, 4).alias(n) for n in ("technical_quality", "clutter_penalty")])
+
+
+def stock_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on signals that are stretched, as shares of raw dot products all lie near one half."""
+    names = [*scoring.POSITIVE, *scoring.PENALTY]
+    stretched = _stock(spark, sf).withColumns({n: F.round(0.5 + 4 * (F.col(n) - 0.5), 6) for n in names})
+    return stretched.select("vec_id", scoring.stock_reason().alias("reason"))
+
+
+def top_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return stock_score(spark, sf).orderBy(F.desc("score"), "vec_id").limit(50).select("vec_id", "score")
+
+
+_QUERIES = [
+    search_topk, search_min_score, search_counts, search_score_columns, search_prompts, embedding_todo,
+    cluster_centroids, cluster_top_prompts, cluster_representatives, cluster_misc_merge, cluster_average_linkage, theme_table, dominant_folder,
+    exact_duplicates, exact_keepers, near_pairs_time_window, near_pairs_same_key, near_components, near_minus_exact, gallery_excludes, dedupe_summary,
+    greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
+    normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
+    evidence_ranking, secondary_categories, evidence_lookup,
+    category_summary, mapping_diagnostics, theme_matrix, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years,
+    gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_metrics, review_kept,
+    pair_softmax_scores, stock_score, stock_reason, top_scores,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
