@@ -17,7 +17,7 @@ def _queries(queries: DataFrame, query_id: str, vector: str) -> tuple[list, np.n
     rows = queries.select(query_id, vector).orderBy(query_id).limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} query vectors; search in lots")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
 
 
 def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, min_score: float = 0.0, digits: int = 4) -> DataFrame:
