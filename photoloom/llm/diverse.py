@@ -78,7 +78,8 @@ class CFTree:
             if x.leaf:
                 total = x.n[k] + n
                 s = x.ls[k] + ls
-                if (x.ss[k] + ss) / total - s @ s / total**2 <= self.t2 + 1e-12:
+                mean_square = (x.ss[k] + ss) / total
+                if mean_square - s @ s / total**2 <= self.t2 + 1e-12 * (1 + mean_square):
                     x.n[k], x.ls[k] = total, s
                     x.ss[k] += ss
                     return None

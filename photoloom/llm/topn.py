@@ -29,7 +29,9 @@ def _usable(c: str) -> Column:
 def _bin(c: str) -> Column:
     """A bin number that never falls when the score rises; null and NaN lie below all scores."""
     x = _usable(c)
-    return F.coalesce(F.floor(F.signum(x) * F.log1p(F.abs(x)) * BINS_PER_E).cast("long"), F.lit(_LEAST).cast("long"))
+    scaled = F.signum(x) * F.log1p(F.abs(x)) * BINS_PER_E
+    bounded = F.greatest(F.lit(float(_LEAST // 2)), F.least(F.lit(float(-_LEAST // 2)), scaled))  # for infinite scores
+    return F.coalesce(F.floor(F.when(x.isNotNull(), bounded)).cast("long"), F.lit(_LEAST).cast("long"))
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], scores: list[str], tie: str, n: int, large_from: int | None = None) -> DataFrame:
