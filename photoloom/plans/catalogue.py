@@ -255,7 +255,8 @@ def evidence_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 def secondary_categories(spark: SparkSession, sf: str) -> DataFrame:
     text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
-    return gallery(spark, sf).select("image_id", F.array_join(second_categories(F.col("primary_master_category"), tokens(text)), ", ").alias("secondary"))
+    words = gallery(spark, sf).select("image_id", "primary_master_category", tokens(text).alias("w"))
+    return words.select("image_id", F.array_join(second_categories(F.col("primary_master_category"), F.col("w")), ", ").alias("secondary"))
 
 
 def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
