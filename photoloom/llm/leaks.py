@@ -85,8 +85,8 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     ``docs`` give repeated results; repeated items count once.
     """
     sc = docs.sparkSession.sparkContext
-    kind = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}
-    schema = f"`{item_id}` {kind[item_id]}, `{doc_id}` {kind[doc_id]}" + ", start int, end int, n_words int" * spans
+    kind_of = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"item_id {kind_of(items, item_id)}, doc_id {kind_of(docs, doc_id)}" + ", start int, end int, n_words int" * spans
 
     def scan(lot: dict) -> DataFrame:
         shipped = sc.broadcast(lot)
@@ -108,7 +108,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
                         found += [(i, doc, *s) for i, s in _stretches(t, line, hits)]
                     else:
                         found += [(i, doc) for i in sorted({i for _, _, its in hits for i in its})]
-                yield pd.DataFrame(found, columns=[item_id, doc_id] + ["start", "end", "n_words"] * spans)
+                yield pd.DataFrame(found, columns=["item_id", "doc_id"] + ["start", "end", "n_words"] * spans)
 
         return docs.select(doc_id, text).mapInPandas(run, schema)
 

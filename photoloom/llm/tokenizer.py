@@ -171,7 +171,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str = VOCAB
                     flat += automaton.encode(split.findall(t))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[doc_id, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
+    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>")

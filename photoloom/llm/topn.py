@@ -35,7 +35,7 @@ def _bin(c: str) -> Column:
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], scores: list[str], tie: str, n: int, large_from: int | None = None) -> DataFrame:
-    """The rows of ``df`` that are among the first ``n`` of their group, with their ``rank``.
+    """The rows of ``df`` that are among the first ``n`` of their group, with their ``rank`` (``rank_`` if that name is taken).
 
     Order: ``scores`` descending, null and NaN last and equal to each other, then ``tie`` ascending (a repeated
     tie value is ordered by nothing further, so it should be unique). A row with a null in any of ``keys`` is in no
@@ -63,5 +63,8 @@ def top_n_per_group(df: DataFrame, keys: list[str], scores: list[str], tie: str,
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
     survivors = rows.withColumn("__bin", joint).join(F.broadcast(thresholds), same, "left").where("__least is null or __bin >= __least")
     order = [_usable(c).desc_nulls_last() for c in scores] + [F.col(tie).asc_nulls_last()]
-    ranked = survivors.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
-    return ranked.select(*df.columns, "rank")
+    name = "rank"
+    while name in df.columns:
+        name += "_"
+    ranked = survivors.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+    return ranked.select(*df.columns, name)

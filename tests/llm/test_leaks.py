@@ -54,6 +54,12 @@ def test_against_brute_force(spark):
     assert run(spark, DOCS[:0], ITEMS).count() == run(spark, DOCS, ITEMS[:0]).count() == 0
 
 
+def test_ids_of_one_name(spark):
+    docs = spark.createDataFrame([(7, "a b c")], "id long, text string")
+    items = spark.createDataFrame([(1, "B c")], "id int, text string")
+    assert [tuple(r) for r in leaked_items(docs, "id", "text", items, "id", "text").collect()] == [(1, 7)]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")

@@ -47,3 +47,5 @@ def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([("x", 1, 5, 0.5, 7)], SCHEMA).withColumn("n", F.lit("kept")).withColumn("k", F.lit(1))
     got = top_n_per_group(df, ["g", "h"], ["a", "b"], "id", 3, large_from=1).first()
     assert got["n"] == "kept" and got["rank"] == 1
+    got = top_n_per_group(df.withColumn("rank", F.lit("own")), ["g", "h"], ["a", "b"], "id", 3, large_from=1).first()
+    assert got["rank"] == "own" and got["rank_"] == 1
