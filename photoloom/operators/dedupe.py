@@ -5,6 +5,8 @@ Photos come as ``photo_id, relpath, size, width, height, taken, phash, content``
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,17 +175,14 @@ def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: in
 
 def dedupe_summary(photos: DataFrame, exact: DataFrame, near: DataFrame, excluded: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:
     """One row of counts."""
-    n = lambda df, what, name: df.agg(what.alias(name))
-    parts = [
-        n(photos, F.count(F.lit(1)), "photo_count"),
-        n(exact, F.countDistinct("group_id"), "exact_group_count"),
-        n(near, F.countDistinct("group_id"), "near_group_count"),
-        n(excluded, F.count(F.lit(1)), "excluded_count"),
-    ]
-    row = parts[0].withColumn("k", F.lit(1))
-    for p in parts[1:]:  # each side is one row
-        row = row.join(F.broadcast(p.withColumn("k", F.lit(1))), "k")
-    return row.drop("k").withColumns({"seconds_window": F.lit(seconds), "phash_threshold": F.lit(bits)})
+    counts = {
+        "photo_count": photos.agg(F.count(F.lit(1)).alias("n")),
+        "exact_group_count": exact.agg(F.countDistinct("group_id").alias("n")),
+        "near_group_count": near.agg(F.countDistinct("group_id").alias("n")),
+        "excluded_count": excluded.agg(F.count(F.lit(1)).alias("n")),
+    }
+    rows = reduce(DataFrame.unionByName, [df.withColumn("what", F.lit(name)) for name, df in counts.items()])
+    return rows.agg(*[F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in counts]).withColumns({"seconds_window": F.lit(seconds), "phash_threshold": F.lit(bits)})
 
 
 def group_rows(groups: DataFrame, photos: DataFrame) -> DataFrame:

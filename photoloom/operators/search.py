@@ -3,49 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors that are sent to the workers.
-MAX_QUERIES = 10_000
+#: Query vectors that are sent to the workers at once; more are searched for in several lots.
+LOT = 10_000
 
 
-def _queries(queries: DataFrame, query_id: str, vector: str) -> tuple[list, np.ndarray]:
-    rows = queries.select(query_id, vector).orderBy(query_id).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; search in lots")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
+def _lots(queries: DataFrame, query_id: str, vector: str, size: int) -> Iterator[tuple[list, np.ndarray]]:
+    rows = queries.where(F.col(vector).isNotNull()).select(query_id, vector).orderBy(query_id).toLocalIterator()
+    while lot := list(islice(rows, size)):
+        yield [r[0] for r in lot], np.array([r[1] for r in lot], np.float64)
 
 
-def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, min_score: float = 0.0, digits: int = 4) -> DataFrame:
+def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, min_score: float = 0.0, digits: int = 4, lot: int = LOT) -> DataFrame:
     """``<query_id>, rank, <row_id>, score``: the ``k`` rows of greatest dot product per query, ties by row id.
 
     A ``min_score`` above 0 drops lower scores first. Each Arrow batch is scored by one matrix product and hands on
     its own best ``k`` per query, so the shuffle holds at most ``k`` rows per query and batch. Scores are rounded to
     ``digits`` before ranking. Rows with a null vector or one of another length are left out.
     """
-    ids, q = _queries(queries, query_id, query_vector)
     row_type, query_type = rows.schema[row_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     out = f"`{query_id}` {query_type}, `{row_id}` {row_type}, score double"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f[[x is not None and len(x) == q.shape[1] for x in f[vector]]]
-            if not len(f) or not len(ids):
-                continue
-            own = f[row_id].to_numpy()
-            scores = (np.stack(f[vector].to_numpy()).astype(np.float64) @ q.T).round(digits)
-            for j, name in enumerate(ids):
-                s = scores[:, j]
-                best = np.lexsort((own, -s))[:k]
-                if min_score > 0:
-                    best = best[s[best] >= min_score]
-                yield pd.DataFrame({query_id: name, row_id: own[best], "score": s[best]})
-
-    scored = rows.select(row_id, vector).mapInPandas(run, out)
+    def scan(ids: list, q: np.ndarray) -> DataFrame:
+        shipped = rows.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shipped.value
+            for f in frames:
+                f = f[[x is not None and len(x) == q.shape[1] for x in f[vector]]].sort_values(row_id, kind="stable")
+                if not len(f):
+                    continue
+                own = f[row_id].to_numpy()
+                scores = (np.stack(f[vector].to_numpy()).astype(np.float64) @ q.T).round(digits)
+                best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                found = pd.DataFrame({query_id: np.repeat(np.array(ids, dtype=object), len(best)), row_id: own[best.T.ravel()], "score": np.take_along_axis(scores, best, 0).T.ravel()})
+                yield found[found["score"] >= min_score] if min_score > 0 else found
+
+        return rows.select(row_id, vector).mapInPandas(run, out)
+
+    parts = [scan(*x) for x in _lots(queries, query_id, query_vector, lot)]
+    scored = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], out)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score")
 

@@ -25,8 +25,8 @@ def centroids(rows: DataFrame, cluster: str, vector: str, dim: int) -> DataFrame
 def merge_small(rows: DataFrame, cluster: str, least: int) -> DataFrame:
     """Rows with ``theme_cluster``: clusters of fewer than ``least`` rows become one, numbered after the greatest."""
     sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"))
-    top = sizes.agg((F.max(cluster) + 1).alias("__misc"))
-    merged = sizes.join(F.broadcast(top)).select(F.col(cluster).alias("__c"), F.when(F.col("__n") < least, F.col("__misc")).otherwise(F.col(cluster)).alias("theme_cluster"))
+    misc = (sizes.agg(F.max(cluster)).first()[0] or 0) + 1
+    merged = sizes.select(F.col(cluster).alias("__c"), F.when(F.col("__n") < least, F.lit(misc).cast(rows.schema[cluster].dataType)).otherwise(F.col(cluster)).alias("theme_cluster"))
     return rows.join(merged, rows[cluster].eqNullSafe(merged["__c"])).drop("__c")
 
 

@@ -29,8 +29,8 @@ from photoloom.plans.evidence import KEYWORDS, evidence_of, score_evidence, seco
 from photoloom.plans.sql import SQL
 from photoloom.session import table
 
-#: Vectors that stand for search words and for prompts: the first of the table.
-N_QUERIES, N_PROMPTS, DIM = 5, 24, 64
+#: Every QUERY_STEP-th vector is a query; the first N_PROMPTS stand for prompts.
+QUERY_STEP, N_PROMPTS, DIM = 20, 24, 64
 #: Prompts in their order. Fixed values.
 PROMPTS = (
     "a coastal landscape photograph",
@@ -74,7 +74,7 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors(spark, sf).where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 # --- search -------------------------------------------------------------------------------------------------------
@@ -93,7 +93,7 @@ def search_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_score_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return search.score_columns(search_topk(spark, sf), "vec_id", "query_id", {i: f"q{i}" for i in range(N_QUERIES)})
+    return search.score_columns(search_topk(spark, sf), "vec_id", "query_id", {QUERY_STEP * i: f"q{i}" for i in range(5)})
 
 
 def search_prompts(spark: SparkSession, sf: str) -> DataFrame:

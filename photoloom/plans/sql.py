@@ -89,7 +89,7 @@ def slug(c: str, mark: str, empty: str, longest: int | None) -> str:
 
 # --- search and themes ----------------------------------------------------------------------------------------------
 
-_SCORES = f"scores AS (SELECT q.vec_id AS query_id, e.vec_id, round({dot('e.embedding', 'q.embedding')}, 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)"
+_SCORES = f"scores AS (SELECT q.vec_id AS query_id, e.vec_id, round({dot('e.embedding', 'q.embedding')}, 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
 
 
 def found(k: int, where: str = "true") -> str:
@@ -228,7 +228,7 @@ SQL = {
     "search_topk": f"WITH {_SCORES}, {found(20)} SELECT * FROM found",
     "search_min_score": f"WITH {_SCORES}, {found(200, 'score >= 0.2')} SELECT * FROM found",
     "search_counts": f"WITH {_SCORES}, {found(200, 'score >= 0.2')} SELECT query_id, count(*) AS n_found FROM found GROUP BY query_id",
-    "search_score_columns": f"WITH {_SCORES}, {found(20)} SELECT *, {', '.join(f'CASE WHEN query_id = {i} THEN score END AS score_q{i}' for i in range(5))} FROM found",
+    "search_score_columns": f"WITH {_SCORES}, {found(20)} SELECT *, {', '.join(f'CASE WHEN query_id = {20 * i} THEN score END AS score_q{i}' for i in range(5))} FROM found",
     "search_prompts": f"SELECT DISTINCT theme_name AS query, coalesce(CASE lower(trim(theme_name)) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in CONDITION_PROMPTS.items())} END, 'a photograph of ' || trim(theme_name)) AS prompt, {slug('theme_name', '_', 'query', None)} AS slug FROM master_gallery_images",
     "embedding_todo": f"WITH files AS (SELECT photo_id, batch_id, {place_sql('path')} AS place, coalesce(size, -1) AS size, date_trunc('second', mtime) AS mtime FROM photo_info) SELECT photo_id FROM files f WHERE batch_id > 0 AND NOT EXISTS (SELECT 1 FROM files c WHERE c.batch_id = 0 AND c.place = f.place AND c.size = f.size AND c.mtime = f.mtime)",
     "cluster_centroids": f"WITH {_CENTRES} SELECT label, n, [round(x, 4) FOR x IN centroid] AS centroid FROM centres JOIN sizes USING (label)",

@@ -110,6 +110,9 @@ def test_search_edges(spark):
     q = spark.createDataFrame([(9, [1.0, 0.0])], "q int, w array<double>")
     assert [tuple(r) for r in top_k(v, "id", "v", q, "q", "w", 2).orderBy("rank").collect()] == [(9, 1, 1, 1.0), (9, 2, 2, 1.0)]
     assert top_k(v, "id", "v", q, "q", "w", 9, min_score=0.5).count() == 2
+    many = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)], "q int, w array<double>")
+    lots = [sorted(tuple(r) for r in top_k(v, "id", "v", many, "q", "w", 2, lot=n).collect()) for n in (2, 100)]
+    assert lots[0] == lots[1] and len(lots[0]) == 14
     assert top_k(v, "id", "v", q.limit(0), "q", "w", 2).count() == top_k(v.limit(0), "id", "v", q, "q", "w", 2).count() == 0
 
 
