@@ -26,38 +26,12 @@ from photoloom.functions.text import (
 )
 from photoloom.operators import dedupe, reports, scoring, search, themes
 from photoloom.plans.evidence import KEYWORDS, evidence_of, score_evidence, second_categories
+from photoloom.plans.prompts import PROMPTS
 from photoloom.plans.sql import SQL
 from photoloom.session import table
 
 #: Every QUERY_STEP-th vector is a query; the first N_PROMPTS stand for prompts.
 QUERY_STEP, N_PROMPTS, DIM = 20, 24, 64
-#: Prompts in their order. Fixed values.
-PROMPTS = (
-    "a coastal landscape photograph",
-    "a harbour or port scene with boats",
-    "a countryside landscape photograph",
-    "a woodland or forest scene",
-    "a waterside or river scene",
-    "a beach or shoreline photograph",
-    "a village, town, or street scene photograph",
-    "an old building or historic architecture photograph",
-    "a dramatic sky photograph",
-    "a sunset or sunrise photograph",
-    "a misty or foggy landscape photograph",
-    "a stormy weather photograph",
-    "a moody atmospheric landscape photograph",
-    "a photograph where light and weather create the mood",
-    "a flower or plant close-up photograph",
-    "a macro or texture detail photograph",
-    "a garden photograph",
-    "a tree or foliage photograph",
-    "a bird or wildlife photograph",
-    "a farm animal photograph",
-    "a pet photograph",
-    "a people or group photograph",
-    "a portrait of one person",
-    "an indoor scene photograph",
-)
 
 
 def gallery(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from photoloom.operators import scoring
 from photoloom.operators.dedupe import CAMERA_STARTS, DERIVED_PARTS, OTHER_IMAGES, RAW, RENDERED
 from photoloom.operators.reports import CATEGORIES
 from photoloom.plans.evidence import HINTS, KEYWORDS, LABELS
+from photoloom.plans.prompts import PROMPTS
 
 DIM = 64
 
@@ -104,6 +105,15 @@ _PROMPT_SCORES = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY label
 _REPS = f"""reps AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN n > 3 THEN score END DESC NULLS LAST, vec_id) AS rank, vec_id, score FROM (
   SELECT label, n, vec_id, round({dot('embedding', 'centroid')}, 4) AS score FROM embeddings JOIN centres USING (label) JOIN sizes USING (label)))"""
 
+_THEMES = f"""WITH {_CENTRES}, {_PROMPT_SCORES}, {_REPS},
+named AS (SELECT label, {", ".join(f"max(CASE WHEN rank = {i} THEN {listed(PROMPTS)}[prompt_id + 1] END) AS top_label_{i}" for i in (1, 2, 3))} FROM ranked WHERE rank <= 3 GROUP BY label),
+shown AS (SELECT label, {", ".join(f"max(CASE WHEN rank = {i} THEN vec_id END) AS representative_{i}" for i in (1, 2, 3))} FROM reps WHERE rank <= 3 GROUP BY label),
+folders AS (SELECT label, f AS dominant_folder FROM (SELECT label, 'folder ' || (vec_id % 7) AS f, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(vec_id)) AS k FROM embeddings GROUP BY label, vec_id % 7) WHERE k = 1)
+SELECT label AS theme_cluster, n AS image_count, {prompt("top_label_1")} AS theme_name, array_to_string([x FOR x IN [{prompt("top_label_1")},
+  CASE WHEN {prompt("top_label_2")} <> {prompt("top_label_1")} AND {prompt("top_label_2")} NOT IN {inside(WEAK_SECONDS)} THEN {prompt("top_label_2")} END, dominant_folder, lpad(label::VARCHAR, 2, '0')] IF x IS NOT NULL], ' • ') AS display_theme_name,
+  top_label_1, top_label_2, top_label_3, dominant_folder, representative_1, representative_2, representative_3
+FROM sizes JOIN named USING (label) JOIN shown USING (label) JOIN folders USING (label)"""
+
 # --- duplicates -----------------------------------------------------------------------------------------------------
 
 _PHOTOS = f"""photos AS (SELECT photo_id, relpath, size, width, height, coalesce(capture_time, mtime) AS taken, CASE WHEN len(phash) = 4 THEN phash END AS phash, {content_sql('sha256')} AS content,
@@ -235,6 +245,8 @@ SQL = {
     "cluster_top_prompts": f"WITH {_CENTRES}, {_PROMPT_SCORES} SELECT label, rank, prompt_id, score FROM ranked WHERE rank <= 3",
     "cluster_representatives": f"WITH {_CENTRES}, {_REPS} SELECT * FROM reps WHERE rank <= 3",
     "cluster_misc_merge": "SELECT vec_id, label, CASE WHEN count(*) OVER (PARTITION BY label) < 50 THEN (SELECT max(label) + 1 FROM embeddings) ELSE label END AS theme_cluster FROM embeddings",
+    "theme_table": _THEMES,
+    "prompt_label_clean": f"SELECT i - 1 AS prompt_id, {prompt('p')} AS label, {normal('p')} AS normal FROM (SELECT unnest({listed(PROMPTS)}) AS p, generate_subscripts({listed(PROMPTS)}, 1) AS i)",
     "dominant_folder": f"SELECT year, cluster_id, folder, n FROM (SELECT *, row_number() OVER (PARTITION BY year, cluster_id ORDER BY n DESC, first) AS k FROM (SELECT year, cluster_id, {folder("coalesce(relative_path, '')")} AS folder, count(*) AS n, min(image_id) AS first FROM master_gallery_images GROUP BY ALL)) WHERE k = 1",
     "exact_duplicates": f"WITH {_PHOTOS} SELECT group_id, CASE WHEN photo_id = keeper_id THEN 'yes' ELSE 'no' END AS keeper, photo_id, relpath, size, width, height, taken AS capture_time FROM exact_groups JOIN ({keepers('exact_groups')}) USING (group_id) JOIN photos USING (photo_id)",
     "exact_keepers": f"WITH {_PHOTOS} {keepers('exact_groups')}",
