@@ -24,8 +24,8 @@ from photoloom.functions.text import (
     suffix,
     tokens,
 )
-from photoloom.operators import dedupe, reports, scoring, search, themes
-from photoloom.plans.evidence import KEYWORDS, evidence_of, score_evidence, second_categories
+from photoloom.operators import dedupe, flags, reports, scoring, search, themes
+from photoloom.plans.evidence import COASTAL_WORDS, KEYWORDS, RURAL_WORDS, evidence_of, score_evidence, second_categories
 from photoloom.plans.prompts import PROMPTS
 from photoloom.plans.sql import SQL
 from photoloom.session import table
@@ -237,6 +237,30 @@ def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return gallery(spark, sf).select("image_id", evidence_of(F.col("mapping_evidence"), F.coalesce("primary_master_category", F.lit(""))).alias("score"))
 
 
+def suspicious_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """Images whose category, evidence and confidence don't agree, with the reasons."""
+    own = evidence_of(F.col("mapping_evidence"), F.coalesce("primary_master_category", F.lit("")))
+    best = F.array_max(F.map_values(F.from_json("mapping_evidence", "map<string,double>")))
+    sure = reports.confidence()
+    conditions = {
+        "no_evidence_for_category": F.col("primary_master_category").isNotNull() & (own <= 0) & best.isNotNull(),
+        "stronger_evidence_for_another": best - own >= 2,
+        "low_confidence_without_flag": (sure < reports.LOW) & (safe(F.col("review_flags")) == "") & (F.col("primary_master_category") != reports.UNCERTAIN),
+    }
+    return flags.with_reasons(gallery(spark, sf), conditions).select("image_id", F.array_join("reasons", ", ").alias("reasons"))
+
+
+def suspicion_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.reason_counts(suspicious_mappings(spark, sf), "reasons")
+
+
+def coastal_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Landscapes whose text has words of the coast, with a mark for words of the country."""
+    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    own = gallery(spark, sf).where("primary_master_category = 'Landscape'").select("image_id", tokens(text).alias("w"))
+    return own.where(hits(F.col("w"), COASTAL_WORDS) > 0).select("image_id", (hits(F.col("w"), RURAL_WORDS) > 0).alias("has_rural_terms"))
+
+
 # --- reports ------------------------------------------------------------------------------------------------------
 
 
@@ -363,7 +387,7 @@ _QUERIES = [
     exact_duplicates, exact_keepers, near_pairs_time_window, near_pairs_same_key, near_components, near_minus_exact, gallery_excludes, dedupe_summary,
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
     normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
-    evidence_ranking, secondary_categories, evidence_lookup,
+    evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
     category_summary, mapping_diagnostics, theme_matrix, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years,
     gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_metrics, review_kept,
     pair_softmax_scores, stock_score, stock_reason, top_scores,

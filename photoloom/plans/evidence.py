@@ -41,6 +41,9 @@ KEYWORDS = {
     "Other / Uncertain": "pet pets dog dogs cat cats puppy puppies kitten kittens".split(),
     "Farm Animals": "farm sheep cow cows goat goats pig pigs chicken chickens tractor barn barns grazing livestock calf calves".split(),
 }
+#: Words of the coast and of the open country. Fixed values.
+COASTAL_WORDS = "coast coastal beach shore shoreline harbour harbor port pier quay jetty marina dock docks river waterside boat boats".split()
+RURAL_WORDS = "countryside woodland forest field fields farmland pasture hill hills valley moor".split()
 #: Second categories that go with a first one. Fixed values.
 HINTS = {
     "Landscape": ["Weather, Light, and Atmosphere"],

@@ -7,7 +7,7 @@ from photoloom.functions.text import CONDITION_PROMPTS, LABEL_WORDS, PROMPT_PIEC
 from photoloom.operators import scoring
 from photoloom.operators.dedupe import CAMERA_STARTS, DERIVED_PARTS, OTHER_IMAGES, RAW, RENDERED
 from photoloom.operators.reports import CATEGORIES
-from photoloom.plans.evidence import HINTS, KEYWORDS, LABELS
+from photoloom.plans.evidence import COASTAL_WORDS, HINTS, KEYWORDS, LABELS, RURAL_WORDS
 from photoloom.plans.prompts import PROMPTS
 
 DIM = 64
@@ -192,6 +192,12 @@ def _second() -> str:
   SELECT image_id, primary_master_category AS p, list_distinct(string_split({TEXT}, ' ')) AS w FROM master_gallery_images)"""
 
 
+_SUSPICIOUS = f"""WITH parsed AS (SELECT image_id, primary_master_category AS c, review_flags, {CONF} AS sure, CASE WHEN json_valid(mapping_evidence) THEN mapping_evidence END AS j FROM master_gallery_images),
+scores AS (SELECT *, coalesce(TRY_CAST(json_extract_string(j, nullif(c, '')) AS DOUBLE), 0) AS own, (SELECT max(TRY_CAST(json_extract_string(j, k) AS DOUBLE)) FROM (SELECT unnest(json_keys(j)) AS k)) AS best FROM parsed),
+named AS (SELECT image_id, array_to_string([x FOR x IN [CASE WHEN c IS NOT NULL AND own <= 0 AND best IS NOT NULL THEN 'no_evidence_for_category' END, CASE WHEN best - own >= 2 THEN 'stronger_evidence_for_another' END,
+  CASE WHEN sure < 0.7 AND coalesce(review_flags, '') = '' AND c <> 'Other / Uncertain' THEN 'low_confidence_without_flag' END] IF x IS NOT NULL], ', ') AS reasons FROM scores),
+suspicious AS (SELECT * FROM named WHERE reasons <> '')"""
+
 # --- scores ---------------------------------------------------------------------------------------------------------
 
 
@@ -265,6 +271,9 @@ SQL = {
     "evidence_ranking": f"WITH {_evidence()} SELECT image_id, coalesce(category, 'Other / Uncertain') AS category, confidence, CASE WHEN confidence < 0.7 THEN 'low_mapping_confidence' ELSE '' END AS flags, landscape::DOUBLE AS landscape, n AS n_evidence FROM final",
     "secondary_categories": _second(),
     "evidence_lookup": "SELECT image_id, coalesce(TRY_CAST(json_extract_string(j, c) AS DOUBLE), 0) AS score FROM (SELECT image_id, CASE WHEN json_valid(mapping_evidence) THEN mapping_evidence END AS j, nullif(primary_master_category, '') AS c FROM master_gallery_images)",
+    "suspicious_mappings": f"{_SUSPICIOUS} SELECT * FROM suspicious",
+    "suspicion_counts": f"{_SUSPICIOUS} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ', ')) AS reason FROM suspicious) GROUP BY reason ORDER BY n DESC, reason LIMIT 12",
+    "coastal_candidates": f"SELECT image_id, {hit('w', RURAL_WORDS)} > 0 AS has_rural_terms FROM (SELECT image_id, list_distinct(string_split({TEXT}, ' ')) AS w FROM master_gallery_images WHERE primary_master_category = 'Landscape') WHERE {hit('w', COASTAL_WORDS)} > 0",
     "category_summary": """WITH own AS (SELECT * FROM master_gallery_images WHERE primary_master_category IS NOT NULL),
 t AS (SELECT *, row_number() OVER (PARTITION BY primary_master_category ORDER BY n DESC, first) AS k FROM (SELECT primary_master_category, coalesce(theme_name, '') AS theme, count(*) AS n, min(image_id) AS first FROM own GROUP BY ALL)),
 e AS (SELECT primary_master_category, coalesce(archive_relative_path, path, '') AS v, row_number() OVER (PARTITION BY primary_master_category ORDER BY image_id) AS k FROM own)

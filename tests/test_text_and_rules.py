@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from photoloom.functions import text
-from photoloom.operators import reports, scoring, themes
+from photoloom.operators import flags, reports, scoring, themes
 from photoloom.plans.evidence import Override, RuleSet, evidence_of, merge_rules, score_evidence, second_categories
 
 IMAGE = "image_id long, theme_name string, display_theme_name string, theme_top_label_1 string, theme_top_label_2 string, theme_top_label_3 string, relative_path string"
@@ -138,3 +138,11 @@ def test_report_edges(spark):
     assert reports.accuracy(ev.where("false")).first()["accuracy"] == 0.0
     cells = {(r[0], r[1]): r[2] for r in reports.confusion(ev).collect()}
     assert cells == {("X", "X"): 2, ("X", "Y"): 2, ("X", "All"): 4, ("All", "X"): 2, ("All", "Y"): 2, ("All", "All"): 4}
+
+
+def test_row_rules(spark):
+    df = spark.createDataFrame([(1,), (5,), (None,)], "x int")
+    x = F.col("x")
+    assert [r["reasons"] for r in flags.with_reasons(df, {"small": x < 3, "odd": x % 2 == 1}).collect()] == [["small", "odd"], ["odd"]]
+    got = df.select(flags.first_match([(x < 3, "a"), (x < 9, "b")], "c"), flags.additive_score(50, [(x > 0, 60), (x > 3, -80)], 1, 99), flags.first_match([], "z")).collect()
+    assert [tuple(r) for r in got] == [("a", 99.0, "z"), ("b", 30.0, "z"), ("c", 50.0, "z")]
