@@ -101,11 +101,11 @@ class HistoryIndex:
     def _add(self, rows: DataFrame, table: str, by: str) -> None:
         rows.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).option("path", self._paths[table]).mode("append").saveAsTable(table)
 
-    def append(self, entries: DataFrame) -> None:
-        """Adds the entries of an accepted batch."""
+    def append(self, entries: DataFrame, n_keys: int | None = None) -> None:
+        """Adds the entries of an accepted batch. ``n_keys`` is the number of their keys, if it is known."""
         self._add(self._keyed(entries).select("key", "band", "check", "first"), self.keys, "key")
         self._add(entries.where("kind = 2").select("first", *_WORDS), self.hashes, "first")
-        self._held = self.spark.table(self.keys).count()
+        self._held = self.spark.table(self.keys).count() if n_keys is None else self._held + n_keys
         if self._held >= 2 * self._counted:  # keys are counted again whenever the index has doubled
             self._counted = self._held
             least = max(self.hot, self._held // MAX_HOT_KEYS + 1)
@@ -163,13 +163,14 @@ def matches_in_batches(signed: DataFrame, buckets: int | None = None, distance:
     entries = work.write(rows.groupBy("batch", "kind", *_WORDS).agg(F.min("row_id").alias("first")), "entries", partition_by=["batch"])
     index = HistoryIndex(spark, buckets, distance, hot)
     found = []
-    numbers = [r[0] for r in entries.select("batch").distinct().orderBy("batch").toLocalIterator()]
-    for k, b in enumerate(numbers):
+    per_batch = entries.groupBy("batch").agg(F.sum(F.when(F.col("kind") == 2, distance + 1).otherwise(1)).alias("n")).orderBy("batch").toLocalIterator()
+    numbers = [(r["batch"], r["n"]) for r in per_batch]
+    for k, (b, n_keys) in enumerate(numbers):
         own = entries.where(F.col("batch") == b).drop("batch")
         if k:
             found.append(work.write(index.probe(own).withColumn("batch", F.lit(b).cast(entries.schema["batch"].dataType)), "found"))
         if k < len(numbers) - 1:
-            index.append(own)
+            index.append(own, n_keys)
     index.close()
     if not found:
         return rows.select(F.col("row_id").alias("first_id"), "row_id").limit(0)
