@@ -26,6 +26,8 @@ LEAF_ENTRIES = 4096
 MAX_SUBSET = 8192
 #: Entries of a tree node.
 BRANCHING = 48
+#: Combinations that are compared with all centres at once.
+BLOCK = 1024
 #: Summaries merged in one task.
 FAN_IN = 8
 #: Records nearest to a centre from which its representative is chosen.
@@ -290,13 +292,15 @@ def varied_subset(df: DataFrame, row_id: str, features: dict[str, tuple[Column,
     shipped = spark.sparkContext.broadcast(centres)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            v = _vectors([f[h].to_numpy() for h in hashes], weights)
-            sq = (v**2).sum(1)
-            for r, c in shipped.value.items():
-                d = sq[:, None] + (c**2).sum(1)[None] - 2 * v @ c.T
-                at = d.argmin(1)
-                yield pd.DataFrame({"request_id": r, "centre": at, "far": d[np.arange(len(v)), at].round(9), "rows": f["rows"], "id": f["id"]})
+        for whole in frames:
+            for start in range(0, len(whole), BLOCK):
+                f = whole.iloc[start : start + BLOCK]
+                v = _vectors([f[h].to_numpy() for h in hashes], weights)
+                sq = (v**2).sum(1)
+                for r, c in shipped.value.items():
+                    d = sq[:, None] + (c**2).sum(1)[None] - 2 * v @ c.T
+                    at = d.argmin(1)
+                    yield pd.DataFrame({"request_id": r, "centre": at, "far": d[np.arange(len(v)), at].round(9), "rows": f["rows"], "id": f["id"]})
 
     nearest = work.write(combinations.mapInPandas(assign, f"request_id int, centre int, far double, rows long, id {kind}"), "nearest")
     near = F.row_number().over(Window.partitionBy("request_id", "centre").orderBy("far", "id"))
