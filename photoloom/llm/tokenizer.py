@@ -64,7 +64,12 @@ class Automaton:
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Automaton:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, text: str) -> Automaton:
+        """From the text of a vocabulary file."""
+        model = json.loads(text)["model"]
         alias = byte_aliases()
         raw = lambda s: bytes(alias[ch] for ch in s)
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
@@ -153,16 +158,10 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str = VOCAB
     key = f"{vocabulary}:{hash(model)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import tempfile
-
         import regex
 
         if key not in _COMPILED:
-            with tempfile.NamedTemporaryFile("w", encoding="utf-8", delete=False) as f:
-                f.write(shipped.value)
-            _COMPILED[key] = Automaton.load(f.name)
-            os.unlink(f.name)
+            _COMPILED[key] = Automaton.parse(shipped.value)
         automaton, split = _COMPILED[key], regex.compile(pattern)
         for batch in batches:
             flat, ends = [], [0]
