@@ -1,8 +1,8 @@
 """Deduplication of new batches against all history through a persisted key index.
 
 A record has up to three signatures: of its content hash and of its place (128 hashed bits each), and its perceptual
-hash (256 bits). The index holds the band keys of every signature in a table bucketed by key, and the perceptual
-hashes themselves in a table bucketed by record. A batch is matched by shuffling only its own keys to those
+hash (256 bits). The index holds the former in a table bucketed by their first half, the band keys of the latter in
+one bucketed by key, and the perceptual hashes themselves in one bucketed by record. A batch is matched by shuffling only its own keys to those
 buckets; candidates are verified on the signatures; then the batch's keys are appended. History is never hashed,
 shuffled or compared anew.
 
@@ -48,11 +48,9 @@ def _cuts(n: int) -> list[int]:
 
 
 def band_keys(distance: int = DISTANCE) -> Column:
-    """``key, band, check`` of one signature row (``kind, w0..w3``): one of all words, or for kind 2 one per band."""
+    """``key, band`` of one perceptual hash (``w0..w3``) for every band."""
     c = _cuts(distance + 1)
-    entry = lambda key, band, check: F.struct(key.alias("key"), F.lit(band).cast("byte").alias("band"), check.alias("check"))
-    bands = F.array(*[entry(F.xxhash64(F.lit(i), *_part(c[i], c[i + 1])), i, F.lit(0).cast("long")) for i in range(distance + 1)])
-    return F.when(F.col("kind") == 2, bands).otherwise(F.array(entry(F.col("w0"), -1, F.col("w1"))))
+    return F.array(*[F.struct(F.xxhash64(F.lit(i), *_part(c[i], c[i + 1])).alias("key"), F.lit(i).cast("byte").alias("band")) for i in range(distance + 1)])
 
 
 def sub_keys(distance: int = DISTANCE) -> Column:
@@ -90,58 +88,62 @@ class HistoryIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.work = Workspace(spark, "history")
         name = f"history_{uuid.uuid4().hex}"
-        self.keys, self.hashes = f"{name}_keys", f"{name}_hashes"
-        self._paths = {self.keys: self.work.path("keys"), self.hashes: self.work.path("hashes")}
+        self.exact, self.keys, self.hashes = f"{name}_exact", f"{name}_keys", f"{name}_hashes"
+        self._paths = {t: self.work.path(t.rsplit("_", 1)[1]) for t in (self.exact, self.keys, self.hashes)}
+        self._begun = False
         self._held = self._counted = 0
         self._hot: DataFrame | None = None
 
-    def _keyed(self, entries: DataFrame) -> DataFrame:
-        return entries.withColumn("b", F.explode(band_keys(self.distance))).select("b.*", "kind", *_WORDS, "first")
+    def _banded(self, entries: DataFrame) -> DataFrame:
+        return entries.where("kind = 2").withColumn("b", F.explode(band_keys(self.distance))).select("b.*", *_WORDS, "first")
 
     def _add(self, rows: DataFrame, table: str, by: str) -> None:
         rows.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).option("path", self._paths[table]).mode("append").saveAsTable(table)
 
     def append(self, entries: DataFrame, n_keys: int | None = None) -> None:
-        """Adds the entries of an accepted batch. ``n_keys`` is the number of their keys, if it is known."""
-        self._add(self._keyed(entries).select("key", "band", "check", "first"), self.keys, "key")
+        """Adds the entries of an accepted batch. ``n_keys`` is the number of their band keys, if it is known."""
+        self._add(entries.where("kind < 2").select("w0", "w1", "kind", "first"), self.exact, "w0")
+        self._add(self._banded(entries).select("key", "band", "first"), self.keys, "key")
         self._add(entries.where("kind = 2").select("first", *_WORDS), self.hashes, "first")
+        self._begun = True
         self._held = self.spark.table(self.keys).count() if n_keys is None else self._held + n_keys
-        if self._held >= 2 * self._counted:  # keys are counted again whenever the index has doubled
+        if self._held >= max(self.hot, 2 * self._counted):  # keys are counted again whenever the index has doubled
             self._counted = self._held
             least = max(self.hot, self._held // MAX_HOT_KEYS + 1)
-            counts = self.spark.table(self.keys).where("band >= 0").groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"))
+            counts = self.spark.table(self.keys).groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"))
             hot = self.work.write(counts.where(F.col("n") >= least).select("key", "band"), "hot")
             self._hot = hot if hot.limit(1).count() else None
 
     def probe(self, entries: DataFrame) -> DataFrame:
         """``kind, w0..w3, matched`` of the entries that match history; ``matched`` is the least id among the records they match."""
         own = ["kind", *_WORDS]
-        if not self._held:
+        if not self._begun:
             return entries.select(*own, F.col("first").alias("matched")).limit(0)
-        history = self.spark.table(self.keys).select("key", F.col("band").alias("h_band"), F.col("check").alias("h_check"), F.col("first").alias("h_first"))
-        new = self._keyed(entries).drop("first")
+        # One key is the only equality of each join, so that the buckets serve it; the rest is a residual condition.
+        e = self.spark.table(self.exact).select(F.col("w0").alias("h0"), F.col("w1").alias("h1"), F.col("kind").alias("h_kind"), F.col("first").alias("matched"))
+        agree = F.col("w1").bitwiseXOR(F.col("h1")).bitwiseOR(F.col("kind").bitwiseXOR(F.col("h_kind")).cast("long")) == 0
+        exact = entries.where("kind < 2").hint("shuffle_hash").join(e, (F.col("w0") == F.col("h0")) & agree).select(*own, "matched")
+
+        history = self.spark.table(self.keys).select(F.col("key").alias("h_key"), F.col("band").alias("h_band"), F.col("first").alias("h_first"))
+        new = self._banded(entries).drop("first")
         cold = new
         if self._hot is not None:
             cold = new.join(F.broadcast(self._hot), ["key", "band"], "left_anti")
-        # The key is the only equality, so that the buckets serve the join; the rest is one residual condition.
-        same = F.col("band").bitwiseXOR(F.col("h_band")).cast("long").bitwiseOR(F.col("check").bitwiseXOR(F.col("h_check"))) == 0
-        found = cold.hint("shuffle_hash").join(history, (cold["key"] == history["key"]) & same).select(*own, "h_first")
-        exact = found.where("kind < 2").select(*own, F.col("h_first").alias("matched"))
-        near = found.where("kind = 2")
+        near = cold.hint("shuffle_hash").join(history, (F.col("key") == F.col("h_key")) & (F.col("band").bitwiseXOR(F.col("h_band")).cast("int") == 0)).select(*_WORDS, "h_first")
         if self._hot is not None:
-            near = near.unionByName(self._probe_hot(new, own))
+            near = near.unionByName(self._probe_hot(new))
         h = self.spark.table(self.hashes).select(F.col("first").alias("h_first"), *[F.col(w).alias(f"h_{w}") for w in _WORDS])
         differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h_{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("h_w0"))))
-        near = near.hint("shuffle_hash").join(h, "h_first").where(differing <= self.distance).select(*own, F.col("h_first").alias("matched"))
+        near = near.hint("shuffle_hash").join(h, "h_first").where(differing <= self.distance).select(F.lit(2).alias("kind"), *_WORDS, F.col("h_first").alias("matched"))
         return exact.unionByName(near).groupBy(*own).agg(F.min("matched").alias("matched"))
 
-    def _probe_hot(self, new: DataFrame, own: list[str]) -> DataFrame:
+    def _probe_hot(self, new: DataFrame) -> DataFrame:
         """Candidates under the keys that very many signatures share, by second bands."""
-        hot = F.broadcast(self._hot)
-        h = self.spark.table(self.keys).where("band >= 0").join(hot, ["key", "band"]).select("key", "band", "first")
-        h = h.join(self.spark.table(self.hashes), "first").select("key", "band", F.explode(sub_keys(self.distance)).alias("sub"), F.col("first").alias("h_first"))
-        n = new.where("band >= 0").join(hot, ["key", "band"]).select("key", "band", F.explode(sub_keys(self.distance)).alias("sub"), *own)
-        return n.join(h, ["key", "band", "sub"]).select(*own, "h_first").distinct()
+        hot, sub = F.broadcast(self._hot), F.explode(sub_keys(self.distance)).alias("sub")
+        h = self.spark.table(self.keys).join(hot, ["key", "band"])
+        h = h.join(self.spark.table(self.hashes), "first").select("key", "band", sub, F.col("first").alias("h_first"))
+        n = new.join(hot, ["key", "band"]).select("key", "band", sub, *_WORDS)
+        return n.join(h, ["key", "band", "sub"]).select(*_WORDS, "h_first").distinct()
 
     def close(self) -> None:
         for t in self._paths:
@@ -163,7 +165,7 @@ def matches_in_batches(signed: DataFrame, buckets: int | None = None, distance:
     entries = work.write(rows.groupBy("batch", "kind", *_WORDS).agg(F.min("row_id").alias("first")), "entries", partition_by=["batch"])
     index = HistoryIndex(spark, buckets, distance, hot)
     found = []
-    per_batch = entries.groupBy("batch").agg(F.sum(F.when(F.col("kind") == 2, distance + 1).otherwise(1)).alias("n")).orderBy("batch").toLocalIterator()
+    per_batch = entries.groupBy("batch").agg((F.count_if(F.col("kind") == 2) * (distance + 1)).alias("n")).orderBy("batch").toLocalIterator()
     numbers = [(r["batch"], r["n"]) for r in per_batch]
     for k, (b, n_keys) in enumerate(numbers):
         own = entries.where(F.col("batch") == b).drop("batch")
