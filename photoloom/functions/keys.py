@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 
 #: SHA-256 of empty content. Fixed value.
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-_BLANKS = r"(?U)^\s+|\s+$"
+#: White space. Fixed values.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_blanks(c: Column) -> Column:
     """``c`` without white space at both ends."""
-    return F.regexp_replace(c, _BLANKS, "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 @F.pandas_udf(T.StringType())
@@ -24,6 +25,10 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Marked so that the optimizer computes it once where a filter and a column both need it.
+_composed = _nfc.asNondeterministic()
+
+
 def nfc(c: Column) -> Column:
     """Unicode composition (NFC) of ``c``.
 
@@ -31,7 +36,7 @@ def nfc(c: Column) -> Column:
     Python; for the rest the Arrow batch holds nulls.
     """
     odd = c.rlike(r"[^\x{0}-\x{2FF}]")
-    return F.coalesce(_nfc(F.when(odd, c)), c)
+    return F.coalesce(_composed(F.when(odd, c)), c)
 
 
 def place_key(path: Column) -> Column:
