@@ -83,8 +83,11 @@ def orphan_references(references: list[Reference]) -> DataFrame:
             child.select(F.lit(i).alias("rel"), "key", "at", F.lit(True).alias("child"), F.lit(None).cast("timestamp_ntz").alias("until"), F.col("row_id").cast("long").alias("row_id")),
         ]
     order = ["rel", "key", "at", "child", "row_id"]
-    stream = reduce(DataFrame.unionByName, both).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = Workspace(references[0].child.sparkSession, "orphans").write(stream.mapInPandas(_merge, _OUT), "found")
+    work = Workspace(references[0].child.sparkSession, "orphans")
+    # Written once, as the range partitioning reads its input twice and keys are costly to make.
+    stream = work.write(reduce(DataFrame.unionByName, both), "stream")
+    found = work.write(stream.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_merge, _OUT), "found")
+    work.drop(stream)
 
     # What the slices before hand on to a key at a border: the row of the last such slice, running over all of them.
     by_key = Window.partitionBy("rel", "key").orderBy("slice")
