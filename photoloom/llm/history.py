@@ -68,12 +68,13 @@ def signatures(df: DataFrame, row_id: str, batch: str, content: Column, place: C
     A null content or place has none, nor has a perceptual hash that is null, of another length than four words,
     holds a null or is all zero.
     """
-    none = F.lit(None).cast("long")
-    hashed = lambda k, c: F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), *[(F.xxhash64(F.lit(10 * k + i), c) if i < 2 else none).alias(f"w{i}") for i in range(4)]))
-    usable = (F.size(phash) == 4) & ~F.exists(phash, lambda w: w.isNull()) & F.exists(phash, lambda w: w != 0)
-    bits = F.when(usable, F.struct(F.lit(2).alias("kind"), *[F.element_at(phash, i + 1).alias(f"w{i}") for i in range(4)]))
-    every = F.filter(F.array(hashed(0, content), hashed(1, place), bits), lambda s: s.isNotNull())
-    return df.select(F.col(row_id).alias("row_id"), F.col(batch).alias("batch"), F.explode(every).alias("s")).select("row_id", "batch", "s.*")
+    none, h = F.lit(None).cast("long"), F.col("phash")
+    hashed = lambda k, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("kind"), *[(F.xxhash64(F.lit(10 * k + i), c) if i < 2 else none).alias(f"w{i}") for i in range(4)]))
+    usable = (F.size(h) == 4) & ~F.exists(h, lambda w: w.isNull()) & F.exists(h, lambda w: w != 0)
+    bits = F.when(usable, F.struct(F.lit(2).alias("kind"), *[F.element_at(h, i + 1).alias(f"w{i}") for i in range(4)]))
+    every = F.filter(F.array(hashed(0, "content"), hashed(1, "place"), bits), lambda s: s.isNotNull())
+    keyed = df.select(F.col(row_id).alias("row_id"), F.col(batch).alias("batch"), content.alias("content"), place.alias("place"), phash.alias("phash"))
+    return keyed.select("row_id", "batch", F.explode(every).alias("s")).select("row_id", "batch", "s.*")
 
 
 class HistoryIndex:
