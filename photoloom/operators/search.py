@@ -41,7 +41,7 @@ def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_i
                 if not len(f):
                     continue
                 own = f[row_id].to_numpy()
-                scores = (np.stack(f[vector].to_numpy()).astype(np.float64) @ q.T).round(digits)
+                scores = (np.stack(f[vector].to_numpy()).astype(np.float64) @ q.T).round(digits) + 0.0  # no negative zero
                 best = np.argsort(-scores, axis=0, kind="stable")[:k]
                 found = pd.DataFrame({query_id: np.repeat(np.array(ids, dtype=object), len(best)), row_id: own[best.T.ravel()], "score": np.take_along_axis(scores, best, 0).T.ravel()})
                 yield found[found["score"] >= min_score] if min_score > 0 else found
@@ -51,7 +51,7 @@ def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_i
     parts = [scan(*x) for x in _lots(queries, query_id, query_vector, lot)]
     scored = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], out)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, F.col("rank").cast("long").alias("rank"), row_id, "score")
 
 
 def result_counts(found: DataFrame, query_id: str) -> DataFrame:

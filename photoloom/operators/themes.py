@@ -42,7 +42,8 @@ def representatives(rows: DataFrame, row_id: str, cluster: str, vector: str, the
     """The ``k`` rows nearest to their centroid; in clusters of at most ``k`` rows, the rows by id."""
     scored = rows.join(themes, cluster).withColumn("score", F.round(dot(F.col(vector), F.col("centroid")), 4))
     order = Window.partitionBy(cluster).orderBy(F.when(F.col("n") > k, F.col("score")).desc_nulls_last(), row_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(cluster, "rank", row_id, "score")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(cluster, F.col("rank").cast("long").alias("rank"), row_id, "score")
 
 
 def dominant(rows: DataFrame, group: list[str], value: Column, position: Column) -> DataFrame:

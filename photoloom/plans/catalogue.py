@@ -87,7 +87,7 @@ def embedding_todo(spark: SparkSession, sf: str) -> DataFrame:
 
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     c = themes.centroids(vectors(spark, sf), "label", "embedding", DIM)
-    return c.select("label", "n", F.transform("centroid", lambda x: F.round(x, 4)).alias("centroid"))
+    return c.select("label", "n", F.transform("centroid", lambda x: F.round(x, 4) + 0.0).alias("centroid"))
 
 
 def cluster_top_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,7 +277,7 @@ def theme_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.audit_sample(gallery(spark, sf), "image_id").select("primary_master_category", "rank", "image_id")
+    return reports.audit_sample(gallery(spark, sf), "image_id").select("primary_master_category", F.col("rank").cast("long").alias("rank"), "image_id")
 
 
 def gallery_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,7 +332,7 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.review_rows(gallery(spark, sf), "image_id")
-    return reports.review_page(rows, ["review_bucket", "year"], "image_id", 20).select("review_bucket", "year", "card", "image_id")
+    return reports.review_page(rows, ["review_bucket", "year"], "image_id", 20).select("review_bucket", "year", F.col("card").cast("long").alias("card"), "image_id")
 
 
 def review_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,7 +90,7 @@ def slug(c: str, mark: str, empty: str, longest: int | None) -> str:
 
 # --- search and themes ----------------------------------------------------------------------------------------------
 
-_SCORES = f"scores AS (SELECT q.vec_id AS query_id, e.vec_id, round({dot('e.embedding', 'q.embedding')}, 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
+_SCORES = f"scores AS (SELECT q.vec_id AS query_id, e.vec_id, round({dot('e.embedding', 'q.embedding')}, 4) + 0.0::DOUBLE AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
 
 
 def found(k: int, where: str = "true") -> str:
@@ -238,7 +238,7 @@ _REVIEW = f"""rows_ AS (SELECT * REPLACE (coalesce({CONF}, 0) AS mapping_confide
 _EVAL = """both_ AS (SELECT gold_id, image_id, correct_category, primary_master_category AS predicted_category FROM gold_labels_v1 g LEFT JOIN master_gallery_images m
   ON trim(m.path) = trim(coalesce(g.path, ''))),
 ev AS (SELECT *, predicted_category IS NOT NULL AS is_matched, coalesce(correct_category = predicted_category, false) AS is_correct FROM both_)"""
-_COUNTS = "count(*) AS n, count_if(mapping_confidence < 0.7) AS low_confidence_count, count_if(trim(coalesce(review_flags, '')) <> '') AS review_flag_count FROM rows_"
+_COUNTS = "count(*) AS n, count(CASE WHEN mapping_confidence < 0.7 THEN 1 END) AS low_confidence_count, count(CASE WHEN trim(coalesce(review_flags, '')) <> '' THEN 1 END) AS review_flag_count FROM rows_"
 
 SQL = {
     "search_topk": f"WITH {_SCORES}, {found(20)} SELECT * FROM found",
@@ -247,7 +247,7 @@ SQL = {
     "search_score_columns": f"WITH {_SCORES}, {found(20)} SELECT *, {', '.join(f'CASE WHEN query_id = {20 * i} THEN score END AS score_q{i}' for i in range(5))} FROM found",
     "search_prompts": f"SELECT DISTINCT theme_name AS query, coalesce(CASE lower(trim(theme_name)) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in CONDITION_PROMPTS.items())} END, 'a photograph of ' || trim(theme_name)) AS prompt, {slug('theme_name', '_', 'query', None)} AS slug FROM master_gallery_images",
     "embedding_todo": f"WITH files AS (SELECT photo_id, batch_id, {place_sql('path')} AS place, coalesce(size, -1) AS size, date_trunc('second', mtime) AS mtime FROM photo_info) SELECT photo_id FROM files f WHERE batch_id > 0 AND NOT EXISTS (SELECT 1 FROM files c WHERE c.batch_id = 0 AND c.place = f.place AND c.size = f.size AND c.mtime = f.mtime)",
-    "cluster_centroids": f"WITH {_CENTRES} SELECT label, n, [round(x, 4) FOR x IN centroid] AS centroid FROM centres JOIN sizes USING (label)",
+    "cluster_centroids": f"WITH {_CENTRES} SELECT label, n, [round(x, 4) + 0.0::DOUBLE FOR x IN centroid] AS centroid FROM centres JOIN sizes USING (label)",
     "cluster_top_prompts": f"WITH {_CENTRES}, {_PROMPT_SCORES} SELECT label, rank, prompt_id, score FROM ranked WHERE rank <= 3",
     "cluster_representatives": f"WITH {_CENTRES}, {_REPS} SELECT * FROM reps WHERE rank <= 3",
     "cluster_misc_merge": "SELECT vec_id, label, CASE WHEN count(*) OVER (PARTITION BY label) < 50 THEN (SELECT max(label) + 1 FROM embeddings) ELSE label END AS theme_cluster FROM embeddings",
@@ -280,15 +280,15 @@ e AS (SELECT primary_master_category, coalesce(archive_relative_path, path, '')
 SELECT primary_master_category AS master_category, count(*) AS image_count, coalesce(string_agg(DISTINCT year, ', ' ORDER BY year), '') AS years_present,
   (SELECT string_agg(theme || ': ' || n, '; ' ORDER BY k) FROM t WHERE t.primary_master_category = own.primary_master_category AND k <= 5) AS top_source_themes,
   (SELECT string_agg(v, '; ' ORDER BY k) FROM e WHERE e.primary_master_category = own.primary_master_category AND k <= 5) AS example_images FROM own GROUP BY primary_master_category""",
-    "mapping_diagnostics": f"SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'{normal(f"theme_top_label_{i}")} AS top_label_{i}' for i in (1, 2, 3))}, primary_master_category AS assigned_master_category, count(*) AS image_count, round(avg({CONF}), 3) AS avg_confidence, round(min({CONF}), 3) AS min_confidence, round(max({CONF}), 3) AS max_confidence, count_if(coalesce(review_flags, '') <> '') AS review_flag_count FROM master_gallery_images GROUP BY ALL",
+    "mapping_diagnostics": f"SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'{normal(f"theme_top_label_{i}")} AS top_label_{i}' for i in (1, 2, 3))}, primary_master_category AS assigned_master_category, count(*) AS image_count, round(avg({CONF}), 3) AS avg_confidence, round(min({CONF}), 3) AS min_confidence, round(max({CONF}), 3) AS max_confidence, count(CASE WHEN coalesce(review_flags, '') <> '' THEN 1 END) AS review_flag_count FROM master_gallery_images GROUP BY ALL",
     "theme_matrix": f"SELECT * FROM (SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'count(file) FILTER (primary_master_category = {q(c)}) AS "{c}"' for c in CATEGORIES)}, count(file) FILTER (primary_master_category IN {inside(CATEGORIES)}) AS total FROM master_gallery_images GROUP BY 1) WHERE total > 0",
     "audit_sample": f"SELECT primary_master_category, rank, image_id FROM (SELECT *, row_number() OVER (PARTITION BY primary_master_category ORDER BY {CONF} NULLS LAST, display_theme_name NULLS LAST, relative_path NULLS LAST, image_id) AS rank FROM master_gallery_images WHERE primary_master_category IN {inside(CATEGORIES)}) WHERE rank <= 50",
-    "gallery_metrics": f"SELECT count(*) AS total_images, round(avg(c), 3) AS avg_confidence, count_if(c < 0.7) AS low_confidence_count, round(count_if(c < 0.7) / greatest(count(*), 1), 3) AS low_confidence_rate, count_if(primary_master_category = 'Other / Uncertain') AS uncertain_count, round(count_if(primary_master_category = 'Other / Uncertain') / greatest(count(*), 1), 3) AS uncertain_rate FROM (SELECT *, {CONF} AS c FROM master_gallery_images)",
+    "gallery_metrics": f"SELECT count(*) AS total_images, round(avg(c), 3) AS avg_confidence, count(CASE WHEN c < 0.7 THEN 1 END) AS low_confidence_count, round(count(CASE WHEN c < 0.7 THEN 1 END) / greatest(count(*), 1), 3) AS low_confidence_rate, count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) AS uncertain_count, round(count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) / greatest(count(*), 1), 3) AS uncertain_rate FROM (SELECT *, {CONF} AS c FROM master_gallery_images)",
     "flag_reason_counts": "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(review_flags, ', ')) AS reason FROM master_gallery_images) WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 12",
     "flagged_rows": "SELECT image_id, year, primary_master_category, review_flags FROM master_gallery_images WHERE review_flags <> ''",
     "union_years": "SELECT year, count(*) AS n, count(CASE WHEN year >= '2015' THEN thumb END) AS n_thumbs, count(DISTINCT theme_name) AS n_themes FROM master_gallery_images WHERE year IS NOT NULL GROUP BY year",
     "gold_evaluation": f"WITH {_EVAL} SELECT * FROM ev",
-    "gold_accuracy": f"WITH {_EVAL} SELECT count(*) AS gold_rows, count_if(is_matched) AS matched_rows, count_if(NOT is_matched) AS unmatched_rows, count_if(is_matched AND is_correct) AS correct_rows, round(CASE WHEN count_if(is_matched) > 0 THEN count_if(is_matched AND is_correct) / count_if(is_matched) ELSE 0 END, 6) AS accuracy FROM ev",
+    "gold_accuracy": f"WITH {_EVAL} SELECT count(*) AS gold_rows, count(CASE WHEN is_matched THEN 1 END) AS matched_rows, count(CASE WHEN NOT is_matched THEN 1 END) AS unmatched_rows, count(CASE WHEN is_matched AND is_correct THEN 1 END) AS correct_rows, round(CASE WHEN count(CASE WHEN is_matched THEN 1 END) > 0 THEN count(CASE WHEN is_matched AND is_correct THEN 1 END) / count(CASE WHEN is_matched THEN 1 END) ELSE 0 END, 6) AS accuracy FROM ev",
     "gold_confusion": f"WITH {_EVAL} SELECT CASE WHEN grouping(correct_category) = 1 THEN 'All' ELSE correct_category END AS correct_category, CASE WHEN grouping(predicted_category) = 1 THEN 'All' ELSE predicted_category END AS predicted_category, count(*) AS n FROM ev WHERE is_matched AND correct_category IS NOT NULL GROUP BY CUBE (correct_category, predicted_category)",
     "gold_errors": f"WITH {_EVAL} SELECT correct_category, predicted_category, count(*) AS n FROM ev WHERE is_matched AND NOT is_correct GROUP BY ALL ORDER BY n DESC, correct_category NULLS FIRST, predicted_category NULLS FIRST LIMIT 12",
     "review_queue": f"WITH {_REVIEW} SELECT image_id, review_id, review_bucket, review_priority, year, mapping_confidence, coalesce(review_flags, '') AS review_flags FROM rows_",
