@@ -87,43 +87,50 @@ def _classes(photos: DataFrame, keys: list[str]) -> DataFrame:
     return photos.groupBy(*keys).agg(F.min("photo_id").alias("rep"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, bits: int, on: Column) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    near = hamming(F.col("a.phash"), F.col("b.phash"))
-    found = a.join(b, (F.col("a.band") == F.col("b.band")) & on).withColumn("distance", near).where((F.col("distance") <= bits) & (F.col("a.rep") != F.col("b.rep")))
-    return found.select(F.least("a.rep", "b.rep").alias("a_id"), F.greatest("a.rep", "b.rep").alias("b_id"), "distance").distinct()
+def _pairs(classes: DataFrame, cell: str, bits: int, more: Column | None = None) -> DataFrame:
+    """Pairs of classes in one cell whose hashes differ in at most ``bits`` bits.
+
+    Cells of one class are dropped before the hash bands multiply the rows; within a cell classes meet under a band.
+    """
+    shared = classes.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(cell)
+    banded = classes.join(shared, cell, "left_semi").withColumn("band", F.explode(hash_bands(F.col("phash"), bits + 1)))
+    a, b = banded.alias("a"), banded.alias("b")
+    met = a.join(b, (F.col(f"a.{cell}") == F.col(f"b.{cell}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep")))
+    found = met.withColumn("distance", hamming(F.col("a.phash"), F.col("b.phash"))).where(F.col("distance") <= bits)
+    return (found if more is None else found.where(more)).select(F.col("a.rep").alias("a_id"), F.col("b.rep").alias("b_id"), "distance").distinct()
 
 
 def near_pairs_in_time(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:
     """``a_id, b_id, distance`` of photos taken at most ``seconds`` apart whose hashes differ in at most ``bits`` bits.
 
-    Pairs are between the least ids of photos with one hash and time. Photos meet in a time slot (or the next one)
-    under one of ``bits + 1`` hash bands, so a slot full of photos with an unset clock isn't paired off.
+    Pairs are between the least ids of photos with one hash and time. Every photo lies in the cells of its own and
+    of the next time slot, so two photos that are near in time share one. They meet there under one of ``bits + 1``
+    hash bands, so a slot full of photos with an unset clock isn't paired off.
     """
     classes = _classes(photos.where("phash is not null and taken is not null"), ["phash", "taken"])
     second = F.floor(F.expr("(unix_date(cast(taken as date)) * 86400L + hour(taken) * 3600 + minute(taken) * 60 + cast(second(taken) as bigint))") / seconds).cast("long")
-    banded = classes.withColumn("slot", second).withColumn("band", F.explode(hash_bands(F.col("phash"), bits + 1)))
-    later = banded.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") - 1)))
+    celled = classes.withColumn("slot", second).withColumn("cell", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).drop("slot")
     apart = (F.col("b.taken") - F.col("a.taken")).between(F.expr(f"-interval '{seconds}' second"), F.expr(f"interval '{seconds}' second"))
-    return _pairs(banded, later, bits, (F.col("a.slot") == F.col("b.slot")) & apart)
+    return _pairs(celled, "cell", bits, apart)
 
 
 def near_pairs_by_stem(photos: DataFrame, bits: int = BITS + 2) -> DataFrame:
     """``a_id, b_id, distance`` of photos with one file stem whose hashes differ in at most ``bits`` bits."""
     classes = _classes(photos.where("phash is not null").withColumn("stem", stem_key(F.col("relpath"))), ["phash", "stem"])
-    banded = classes.withColumn("band", F.explode(hash_bands(F.col("phash"), bits + 1)))
-    return _pairs(banded, banded, bits, (F.col("a.stem") == F.col("b.stem")) & (F.col("a.rep") < F.col("b.rep")))
+    return _pairs(classes, "stem", bits)
 
 
 def near_groups(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:
     """``group_id, photo_id`` of photos linked by time or stem pairs, directly or through others."""
     work = Workspace(photos.sparkSession, "near")
-    photos = work.write(photos.where("phash is not null").withColumn("stem", stem_key(F.col("relpath"))), "photos")
+    hashed = photos.where("phash is not null").select("photo_id", "relpath", "taken", "phash", stem_key(F.col("relpath")).alias("stem"))
+    photos = work.write(hashed, "photos")
     links = near_pairs_in_time(photos, seconds, bits).select("a_id", "b_id").union(near_pairs_by_stem(photos, bits + 2).select("a_id", "b_id"))
     for keys in (["phash", "taken"], ["phash", "stem"]):  # copies hang on the least id of their class
-        rows = photos.where(" and ".join(f"{k} is not null" for k in keys))
-        least = _classes(rows, keys)
-        links = links.union(rows.join(least, keys).where("photo_id <> rep").select(F.col("rep").alias("a_id"), F.col("photo_id").alias("b_id")))
+        # 128 hashed bits stand for the class, as only ids travel here.
+        rows = photos.where(" and ".join(f"{k} is not null" for k in keys)).select("photo_id", *[F.xxhash64(F.lit(i), *keys).alias(f"c{i}") for i in range(2)])
+        least = rows.groupBy("c0", "c1").agg(F.min("photo_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        links = links.union(rows.join(least, ["c0", "c1"]).where("photo_id <> rep").select(F.col("rep").alias("a_id"), F.col("photo_id").alias("b_id")))
     parts = least_label_components(work.write(links.distinct(), "links"), "a_id", "b_id")
     return parts.select(F.col("component").alias("group_id"), F.col("vertex").alias("photo_id"))
 
