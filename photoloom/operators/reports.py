@@ -65,7 +65,10 @@ def mapping_diagnostics(images: DataFrame) -> DataFrame:
 
 
 def theme_matrix(images: DataFrame) -> DataFrame:
-    """Rows per normalised theme, a column with the number of files per category, and their total."""
+    """Rows per normalised theme, a column with the number of files per category of the taxonomy, and their total.
+
+    Categories written otherwise count nowhere here; ``theme_matrix_whole`` has them.
+    """
     norm = images.withColumn("raw_theme", normalize(F.col("theme_name")))
     wide = norm.groupBy("raw_theme").pivot("primary_master_category", list(CATEGORIES)).agg(F.count("file"))
     filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("long")).alias(c) for c in CATEGORIES]
@@ -74,6 +77,19 @@ def theme_matrix(images: DataFrame) -> DataFrame:
     return counted.withColumn("total", total).where("total > 0")
 
 
+def theme_matrix_whole(images: DataFrame) -> DataFrame:
+    """Rows per normalised theme: files per category of the taxonomy, per other category as written, and of all.
+
+    ``extras`` maps each category outside the taxonomy, blank ones included, to its files; ``total`` counts them too.
+    Only images without a category are left out.
+    """
+    norm = images.where("primary_master_category is not null").select(normalize(F.col("theme_name")).alias("raw_theme"), F.col("primary_master_category").alias("c"), "file")
+    cells = norm.groupBy("raw_theme", "c").agg(F.count("file").alias("n"))
+    own = [F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0).cast("long")).alias(c) for c in CATEGORIES]
+    extras = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("c").isin(*CATEGORIES), F.struct("c", "n")))))
+    return cells.groupBy("raw_theme").agg(*own, extras.alias("extras"), F.sum("n").alias("total"))
+
+
 def audit_sample(images: DataFrame, tie: str, per_category: int = 50) -> DataFrame:
     """The rows of least confidence of each category."""
     order = [confidence().asc_nulls_last(), F.col("display_theme_name").asc_nulls_last(), F.col("relative_path").asc_nulls_last(), F.col(tie)]

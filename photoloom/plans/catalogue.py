@@ -276,6 +276,10 @@ def theme_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return reports.theme_matrix(gallery(spark, sf))
 
 
+def theme_matrix_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.theme_matrix_whole(gallery(spark, sf))
+
+
 def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
     return reports.audit_sample(gallery(spark, sf), "image_id").select("primary_master_category", F.col("rank").cast("long").alias("rank"), "image_id")
 
@@ -388,7 +392,7 @@ _QUERIES = [
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
     normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
     evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
-    category_summary, mapping_diagnostics, theme_matrix, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years,
+    category_summary, mapping_diagnostics, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years,
     gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_metrics, review_kept,
     pair_softmax_scores, stock_score, stock_reason, top_scores,
 ]
