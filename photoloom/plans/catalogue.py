@@ -297,13 +297,24 @@ def flagged_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def union_years(spark: SparkSession, sf: str) -> DataFrame:
-    """The yearly tables put together again by name, one of them without a column."""
+    """The yearly tables put together again by name, one of them without a column.
+
+    Rows without a year are in no yearly table and are left out, as in the SQL; ``union_years_whole`` has them.
+    """
     g = gallery(spark, sf).select("image_id", "year", "theme_name", "thumb")
     old, new = g.where("year < '2015'").drop("thumb"), g.where("year >= '2015'")
     both = old.unionByName(new, allowMissingColumns=True)
     return both.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("thumb").alias("n_thumbs"), F.countDistinct("theme_name").alias("n_themes"))
 
 
+def union_years_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``union_years`` over every row: those without a year stay in the part that keeps all columns."""
+    g = gallery(spark, sf).select("image_id", "year", "theme_name", "thumb")
+    is_old = F.coalesce(F.col("year") < "2015", F.lit(False))
+    both = g.where(is_old).drop("thumb").unionByName(g.where(~is_old), allowMissingColumns=True)
+    return both.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("thumb").alias("n_thumbs"), F.countDistinct("theme_name").alias("n_themes"))
+
+
 # --- evaluation and review ----------------------------------------------------------------------------------------
 
 
@@ -392,7 +403,7 @@ _QUERIES = [
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
     normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
     evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
-    category_summary, mapping_diagnostics, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years,
+    category_summary, mapping_diagnostics, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years, union_years_whole,
     gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_metrics, review_kept,
     pair_softmax_scores, stock_score, stock_reason, top_scores,
 ]

@@ -25,3 +25,12 @@ def test_theme_matrix_over_a_whole_table(spark):
         own = {c: r[c] for c in reports.CATEGORIES if r[c]} | r["extras"]
         assert {c: n for c, n in own.items() if n} == {c: n for c, n in want[t].items() if n} and r["total"] == sum(want[t].values())
     assert any(r["extras"] for r in got.values())
+
+
+def test_union_of_years_has_every_row(spark):
+    images = catalogue.gallery(spark, SF)
+    got = {r["year"]: (r["n"], r["n_thumbs"]) for r in catalogue.union_years_whole(spark, SF).collect()}
+    assert sum(n for n, _ in got.values()) == images.count()
+    none = images.where("year is null")
+    assert got.pop(None) == (none.count(), none.where("thumb is not null").count()) and none.count() > 0
+    assert got == {r["year"]: (r["n"], r["n_thumbs"]) for r in catalogue.union_years(spark, SF).collect()}
