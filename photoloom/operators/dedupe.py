@@ -5,6 +5,7 @@ Photos come as ``photo_id, relpath, size, width, height, taken, phash, content``
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ CAMERA_STARTS = ("dsc", "img_", "p", "pxl_", "dji_")
 
 SECONDS = 8
 BITS = 6
+#: Open edges of a greedy selection that the driver settles in one pass instead of further rounds.
+LAST_EDGES = 100_000
 
 
 def inventory(photos: DataFrame) -> DataFrame:
@@ -148,12 +151,31 @@ def near_minus_exact(near: DataFrame, exact: DataFrame) -> DataFrame:
     return near.join(left.select("group_id"), "group_id", "left_semi")
 
 
-def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: int = 5, top_n: int | None = None, max_rounds: int = 200) -> DataFrame:
+def _dropped_by_pass(edges: list[tuple]) -> set:
+    """The rows that a sequential pass drops, of edges from an earlier to a later row."""
+    later, waits = defaultdict(list), Counter()
+    for a, b in edges:
+        later[a].append(b)
+        waits[b] += 1
+    ready, out = [a for a in later if not waits[a]], set()
+    while ready:
+        a = ready.pop()
+        for b in later.get(a, ()):
+            if a not in out:
+                out.add(b)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return out
+
+
+def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: int = 5, top_n: int | None = None, last_edges: int = LAST_EDGES) -> DataFrame:
     """``row_id`` of the rows that a pass in ``order`` keeps: those with no kept row before them within ``bits`` bits.
 
     ``order`` is unique. Of equal hashes only the first can be kept. A row is kept once all earlier near rows are
     dropped, and dropped once one is kept; rounds go on until all are decided, which gives just the sequential
-    result. Rows without a hash are left out.
+    result. Each round settles at least the first open row. A chain of rows settles two a round, so once at most
+    ``last_edges`` edges are open the driver decides them in one pass. Rows without a hash are left out.
     """
     work = Workspace(rows.sparkSession, "greedy")
     firsts = rows.where(F.size(phash) == 4).groupBy(F.col(phash).alias("phash")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(row_id).alias("id"))).alias("f")).select("phash", "f.o", "f.id")
@@ -162,20 +184,23 @@ def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: in
     a, b = banded.alias("a"), banded.alias("b")
     before = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.o") < F.col("b.o"))).where(hamming(F.col("a.phash"), F.col("b.phash")) <= bits)
     edges = work.write(before.select(F.col("a.id").alias("early"), F.col("b.id").alias("late")).distinct(), "edges")
-    open_edges, dropped = edges, None
-    for _ in range(max_rounds):
+    open_edges, dropped, parts = edges, None, 0
+    kind = rows.schema[row_id].dataType.simpleString()
+    while (n := open_edges.limit(last_edges + 1).count()) > last_edges:
         # Rows with no undecided or kept row before them are kept; all that they are near to are dropped.
         waiting = open_edges.select(F.col("late").alias("id")).distinct()
         kept = open_edges.select(F.col("early").alias("id")).distinct().join(waiting, "id", "left_anti")
         out = work.write(open_edges.join(kept.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct(), "dropped")
-        dropped = out if dropped is None else dropped.union(out)
+        dropped, parts = out if dropped is None else dropped.union(out), parts + 1
+        if parts % 50 == 0:
+            dropped = work.write(dropped, "dropped")  # one table, so the plan stays short
         gone = out.union(kept)
         nxt = open_edges.join(gone.withColumnRenamed("id", "early"), "early", "left_anti").join(out.withColumnRenamed("id", "late"), "late", "left_anti")
         open_edges = work.write(nxt.select("early", "late"), "edges")
-        if not open_edges.limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"the selection isn't settled after {max_rounds} rounds")
+    if n or dropped is None:
+        last = _dropped_by_pass([tuple(r) for r in open_edges.collect()])  # at most last_edges rows
+        out = work.write(rows.sparkSession.createDataFrame([(x,) for x in last], f"id {kind}"), "dropped")
+        dropped = out if dropped is None else dropped.union(out)
     kept = firsts.join(dropped, "id", "left_anti").select(F.col("id").alias(row_id), F.col("o").alias("position"))
     return kept.orderBy("position").limit(top_n) if top_n else kept
 

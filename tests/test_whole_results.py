@@ -1,8 +1,9 @@
 """Results that leave out no row or column of the whole job."""
 
+import random
 from collections import Counter, defaultdict
 
-from photoloom.operators import reports
+from photoloom.operators import dedupe, reports
 from photoloom.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -34,3 +35,23 @@ def test_union_of_years_has_every_row(spark):
     none = images.where("year is null")
     assert got.pop(None) == (none.count(), none.where("thumb is not null").count()) and none.count() > 0
     assert got == {r["year"]: (r["n"], r["n_thumbs"]) for r in catalogue.union_years(spark, SF).collect()}
+
+
+def test_greedy_selection_of_a_long_series(spark):
+    """Each hash is near the next only, so rounds settle two rows each; 500 rows need more than 200 rounds."""
+    rnd, h, recent, series = random.Random(1), 0, [], []
+    for _ in range(500):
+        series.append(h)
+        flips = rnd.sample([b for b in range(256) if b not in recent], 3)
+        recent = (recent + flips)[-60:]
+        h ^= sum(1 << b for b in flips)
+    kept = []
+    for i, x in enumerate(series):
+        if all((x ^ series[k]).bit_count() > 5 for k in kept):
+            kept.append(i)
+    assert 240 <= len(kept) <= 260
+    words = lambda x: [w - (1 << 64) if (w := x >> 64 * k & (1 << 64) - 1) >> 63 else w for k in range(4)]
+    df = spark.createDataFrame([(i, words(x)) for i, x in enumerate(series)], "photo_id long, phash array<long>")
+    assert sorted(r["photo_id"] for r in dedupe.greedy_unique(df, "photo_id", "photo_id", "phash").collect()) == kept
+    some = df.where("photo_id < 14")
+    assert sorted(r["photo_id"] for r in dedupe.greedy_unique(some, "photo_id", "photo_id", "phash", last_edges=0).collect()) == [i for i in kept if i < 14]
