@@ -350,6 +350,12 @@ def review_page(spark: SparkSession, sf: str) -> DataFrame:
     return reports.review_page(rows, ["review_bucket", "year"], "image_id", 20).select("review_bucket", "year", F.col("card").cast("long").alias("card"), "image_id")
 
 
+def review_page_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``review_page`` with the reference's 500 cards a section; the SQL of ``review_page`` has 20."""
+    rows = reports.review_rows(gallery(spark, sf), "image_id")
+    return reports.review_page(rows, ["review_bucket", "year"], "image_id").select("review_bucket", "year", F.col("card").cast("long").alias("card"), "image_id")
+
+
 def review_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return reports.review_metrics(reports.review_rows(gallery(spark, sf), "image_id"))
 
@@ -404,7 +410,7 @@ _QUERIES = [
     normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
     evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
     category_summary, mapping_diagnostics, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years, union_years_whole,
-    gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_metrics, review_kept,
+    gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_page_whole, review_metrics, review_kept,
     pair_softmax_scores, stock_score, stock_reason, top_scores,
 ]
 

@@ -55,3 +55,12 @@ def test_greedy_selection_of_a_long_series(spark):
     assert sorted(r["photo_id"] for r in dedupe.greedy_unique(df, "photo_id", "photo_id", "phash").collect()) == kept
     some = df.where("photo_id < 14")
     assert sorted(r["photo_id"] for r in dedupe.greedy_unique(some, "photo_id", "photo_id", "phash", last_edges=0).collect()) == [i for i in kept if i < 14]
+
+
+def test_review_page_has_500_cards(spark):
+    rows = catalogue.review_page_whole(spark, SF).collect()
+    images = reports.review_rows(catalogue.gallery(spark, SF), "image_id")
+    sizes = Counter((r[0], r[1]) for r in images.select("review_bucket", "year").collect())
+    assert Counter((r["review_bucket"], r["year"]) for r in rows) == {k: min(n, 500) for k, n in sizes.items()} and len(rows) > 20 * len(sizes)
+    first = {tuple(r) for r in catalogue.review_page(spark, SF).collect()}
+    assert {tuple(r) for r in rows if r["card"] <= 20} == first
