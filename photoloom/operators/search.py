@@ -63,6 +63,11 @@ def score_columns(found: DataFrame, row_id: str, query_id: str, names: dict[obje
     return found.select("*", *[F.when(F.col(query_id) == q, F.col("score")).alias(f"score_{n}") for q, n in names.items()])
 
 
+def score_map(found: DataFrame, query_id: str) -> DataFrame:
+    """Long results with a map from each row's query to its score: ``score_columns`` for any number of queries."""
+    return found.withColumn("scores", F.create_map(query_id, "score"))
+
+
 def unscored(current: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``current`` without an equal manifest row in the cache: the only ones to embed again."""
     return current.join(cached.select(*keys).distinct(), keys, "left_anti")

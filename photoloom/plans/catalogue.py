@@ -67,9 +67,14 @@ def search_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_score_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Score columns of the first five queries, as in the SQL; ``search_score_map`` has those of every query."""
     return search.score_columns(search_topk(spark, sf), "vec_id", "query_id", {QUERY_STEP * i: f"q{i}" for i in range(5)})
 
 
+def search_score_map(spark: SparkSession, sf: str) -> DataFrame:
+    return search.score_map(search_topk(spark, sf), "query_id")
+
+
 def search_prompts(spark: SparkSession, sf: str) -> DataFrame:
     themes_ = gallery(spark, sf).select(F.col("theme_name").alias("query")).distinct()
     return themes_.select("query", search_prompt(F.col("query")).alias("prompt"), slug(F.col("query")).alias("slug"))
@@ -403,7 +408,7 @@ def top_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES = [
-    search_topk, search_min_score, search_counts, search_score_columns, search_prompts, embedding_todo,
+    search_topk, search_min_score, search_counts, search_score_columns, search_score_map, search_prompts, embedding_todo,
     cluster_centroids, cluster_top_prompts, cluster_representatives, cluster_misc_merge, cluster_average_linkage, theme_table, dominant_folder,
     exact_duplicates, exact_keepers, near_pairs_time_window, near_pairs_same_key, near_components, near_minus_exact, gallery_excludes, dedupe_summary,
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,

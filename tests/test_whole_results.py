@@ -64,3 +64,9 @@ def test_review_page_has_500_cards(spark):
     assert Counter((r["review_bucket"], r["year"]) for r in rows) == {k: min(n, 500) for k, n in sizes.items()} and len(rows) > 20 * len(sizes)
     first = {tuple(r) for r in catalogue.review_page(spark, SF).collect()}
     assert {tuple(r) for r in rows if r["card"] <= 20} == first
+
+
+def test_every_query_has_its_scores(spark):
+    rows = catalogue.search_score_map(spark, SF).collect()
+    assert all(r["scores"] == {r["query_id"]: r["score"]} for r in rows)
+    assert {q for r in rows for q in r["scores"]} == {r["query_id"] for r in catalogue.words_queries(spark, SF).collect()}
