@@ -35,6 +35,12 @@ def passages(item_text: str | None, window: int = WINDOW) -> set[str]:
     return {f" {' '.join(w[i : i + k])} " for i in range(len(w) - k + 1)} if k else set()
 
 
+def _joins(c: str) -> bool:
+    """Whether ``c`` may compose under NFKC with what is before it: a mark, a joining letter, or a sign that stands for one."""
+    c = unicodedata.normalize("NFKC", c)[:1] or c
+    return bool(unicodedata.combining(c)) or unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"
+
+
 def source_offsets(text: str) -> list[int]:
     """For every character of ``normalise(text)`` and its end, the offset in ``text`` that it comes from."""
     at: list[int] = []
@@ -43,7 +49,7 @@ def source_offsets(text: str) -> list[int]:
         j = i + 1
         if text[i] >= "̀" or (j < n and text[j] >= "̀"):
             # A character composes with the marks and joining letters behind it.
-            while j < n and text[j] >= "̀" and (unicodedata.combining(text[j]) or unicodedata.category(text[j])[0] == "M" or "ᅠ" <= text[j] <= "ᇿ"):
+            while j < n and text[j] >= "̀" and _joins(text[j]):
                 j += 1
         at += [i] * len(normalise(text[i:j]))
         i = j
