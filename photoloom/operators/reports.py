@@ -64,6 +64,21 @@ def mapping_diagnostics(images: DataFrame) -> DataFrame:
     )
 
 
+def mapping_diagnostics_whole(images: DataFrame, position: str) -> DataFrame:
+    """``mapping_diagnostics`` with the first eight example images of each group."""
+    base = mapping_diagnostics(images)
+    key = ["raw_theme", "top_label_1", "top_label_2", "top_label_3", "assigned_master_category"]
+    columns = ["theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3"]
+    norm = images.select(*[normalize(F.col(c)).alias(k) for k, c in zip(key, columns)], F.col("primary_master_category").alias(key[4]), F.coalesce("archive_relative_path", "path").alias("image"), position)
+    examples = _firsts(norm, key, F.col("image"), position, 8, "example_images")
+    return base.join(examples, _same(base, examples, key)).select(*[base[c] for c in base.columns], "example_images")
+
+
+def category_counts(images: DataFrame) -> DataFrame:
+    """Images per category as written; those without one are left out, as in the reference's counts."""
+    return images.where("primary_master_category is not null").groupBy("primary_master_category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def theme_matrix(images: DataFrame) -> DataFrame:
     """Rows per normalised theme, a column with the number of files per category of the taxonomy, and their total.
 

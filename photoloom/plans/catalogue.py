@@ -277,6 +277,14 @@ def mapping_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return reports.mapping_diagnostics(gallery(spark, sf))
 
 
+def mapping_diagnostics_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.mapping_diagnostics_whole(gallery(spark, sf), "image_id")
+
+
+def category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.category_counts(gallery(spark, sf))
+
+
 def theme_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return reports.theme_matrix(gallery(spark, sf))
 
@@ -414,7 +422,7 @@ _QUERIES = [
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
     normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
     evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
-    category_summary, mapping_diagnostics, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years, union_years_whole,
+    category_summary, mapping_diagnostics, mapping_diagnostics_whole, category_counts, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years, union_years_whole,
     gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_page_whole, review_metrics, review_kept,
     pair_softmax_scores, stock_score, stock_reason, top_scores,
 ]

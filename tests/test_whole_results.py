@@ -70,3 +70,13 @@ def test_every_query_has_its_scores(spark):
     rows = catalogue.search_score_map(spark, SF).collect()
     assert all(r["scores"] == {r["query_id"]: r["score"]} for r in rows)
     assert {q for r in rows for q in r["scores"]} == {r["query_id"] for r in catalogue.words_queries(spark, SF).collect()}
+
+
+def test_diagnostics_have_examples_and_categories_counts(spark):
+    images = catalogue.gallery(spark, SF)
+    rows = catalogue.mapping_diagnostics_whole(spark, SF).collect()
+    plain = catalogue.mapping_diagnostics(spark, SF)
+    assert Counter(tuple(r[c] for c in plain.columns) for r in rows) == Counter(tuple(r) for r in plain.collect())
+    assert all(len(r["example_images"]) == min(8, r["image_count"]) for r in rows) and any(r["assigned_master_category"] is None for r in rows)
+    want = Counter(r[0] for r in images.select("primary_master_category").collect() if r[0] is not None)
+    assert {r[0]: r[1] for r in catalogue.category_counts(spark, SF).collect()} == want
