@@ -13,13 +13,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoloom.session import Workspace
 
-_OUT = "slice int, rel int, key string, row_id long, at timestamp_ntz, at_us long, began boolean, pending boolean, carry long"
+_OUT = "slice int, rel int, key string, row_id long, at_us long, began boolean, pending boolean, carry long"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 _NEVER, _ALWAYS = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -33,36 +34,67 @@ class Reference:
     parent: DataFrame
 
 
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cummax(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Running maximum within runs; ``new`` marks where a run begins."""
+    levels, rank = np.unique(values, return_inverse=True)
+    base = (np.cumsum(new) - 1) * len(levels)
+    return levels[np.maximum.accumulate(rank + base) - base]
+
+
+def _changes(c: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; the first one does."""
+    out = np.ones(len(c), bool)
+    out[1:] = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     slice_ = TaskContext.get().partitionId()
     first = last = None
     until = _NEVER
-    for f in frames:
-        if not len(f):
+    for f in batches:
+        n = len(f)
+        if not n:
             continue
-        rel, key = f["rel"].to_numpy(), f["key"].to_numpy(dtype=object)
-        at = f["at"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-        child = f["child"].to_numpy()
-        end = np.where(f["until"].isna(), _ALWAYS, f["until"].to_numpy(dtype="datetime64[us]").astype(np.int64))
-        end[child] = _NEVER
-        new = np.ones(len(f), bool)
-        new[1:] = (key[1:] != key[:-1]) | (rel[1:] != rel[:-1])
-        if (rel[0], key[0]) == last:
+        rel, key = f.column("rel"), f.column("key")
+        timed = f.column("at_us").is_valid().to_numpy(zero_copy_only=False)
+        at = f.column("at_us").fill_null(0).to_numpy()
+        child = f.column("child").to_numpy(zero_copy_only=False)
+        end = np.where(child, _NEVER, f.column("until_us").fill_null(_ALWAYS).to_numpy())
+        ends = [(rel[i].as_py(), key[i].as_py()) for i in (0, n - 1)]
+        if ends[0] == last:
             end[0] = max(end[0], until)
         if first is None:
-            first = (rel[0], key[0])
-        run = pd.Series(end).groupby(np.cumsum(new)).cummax().to_numpy()
-        last, until = (rel[-1], key[-1]), run[-1]
-        lost = child & (f["at"].isna().to_numpy() | (run <= at))
-        if lost.any():
-            g = f.loc[lost, ["rel", "key", "row_id", "at"]]
-            known = g["at"].notna().to_numpy()
-            pending = (rel[lost] == first[0]) & (key[lost] == first[1]) & known
-            yield g.assign(slice=slice_, at_us=pd.array(at[lost], "Int64"), began=known & (run[lost] > _NEVER), pending=pending, carry=None)[_COLUMNS]
+            first = ends[0]
+        run = _cummax(end, _changes(rel) | _changes(key))
+        last, until = ends[1], int(run[-1])
+        lost = np.flatnonzero(child & (~timed | (run <= at)))
+        if len(lost):
+            g = f.take(pa.array(lost))
+            known = timed[lost]
+            pending = known & pc.and_(pc.equal(g.column("rel"), first[0]), pc.equal(g.column("key"), first[1])).to_numpy(zero_copy_only=False)
+            none = pa.nulls(len(lost), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(lost), slice_, np.int32)), g.column("rel"), g.column("key"), g.column("row_id"), g.column("at_us"), pa.array(known & (run[lost] > _NEVER)), pa.array(pending), none], names=_COLUMNS
+            )
     if last is not None:
-        yield pd.DataFrame([(slice_, last[0], last[1], None, pd.NaT, None, until > _NEVER, False, until)], columns=_COLUMNS)
+        row = dict(zip(_COLUMNS, (slice_, *last, None, None, until > _NEVER, False, until), strict=True))
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in zip(_COLUMNS, kinds, strict=True)], names=_COLUMNS)
+
+
+def micros(at: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, for every year that Spark knows."""
+    t = at.cast("timestamp_ntz")
+    second = F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return second * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def from_micros(us: Column) -> Column:
+    """The time without zone that ``micros`` was taken of."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us / F.lit(1_000_000).cast("decimal(38,6)")).cast("decimal(18,6)"))
 
 
 def orphan_references(references: list[Reference]) -> DataFrame:
@@ -71,7 +103,8 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     A parent is valid from ``begin`` on, up to but not at ``until``. Result: ``reference, key, row_id, at, began``;
     ``began`` tells that some parent of the key had begun by then, so that the target is deleted rather than
     missing or late. Rows with a null key refer to nothing and are no cases; a row with a null time finds no
-    parent; a parent without ``begin`` is never valid. Repeated rows come out as often as they go in. Empty
+    parent; a parent without ``begin`` is never valid. Times travel as microseconds, so any year that Spark knows, such
+    as an end of validity in 9999, counts exactly. Repeated rows come out as often as they go in. Empty
     tables give an empty result. Other columns are not read.
     """
     both = []
@@ -79,14 +112,14 @@ def orphan_references(references: list[Reference]) -> DataFrame:
         parent = r.parent.where("key is not null and begin is not null")
         child = r.child.where("key is not null")
         both += [
-            parent.select(F.lit(i).alias("rel"), "key", F.col("begin").alias("at"), F.lit(False).alias("child"), "until", F.col("row_id").cast("long").alias("row_id")),
-            child.select(F.lit(i).alias("rel"), "key", "at", F.lit(True).alias("child"), F.lit(None).cast("timestamp_ntz").alias("until"), F.col("row_id").cast("long").alias("row_id")),
+            parent.select(F.lit(i).alias("rel"), "key", micros(F.col("begin")).alias("at_us"), F.lit(False).alias("child"), micros(F.col("until")).alias("until_us"), F.col("row_id").cast("long").alias("row_id")),
+            child.select(F.lit(i).alias("rel"), "key", micros(F.col("at")).alias("at_us"), F.lit(True).alias("child"), F.lit(None).cast("long").alias("until_us"), F.col("row_id").cast("long").alias("row_id")),
         ]
-    order = ["rel", "key", "at", "child", "row_id"]
+    order = ["rel", "key", "at_us", "child", "row_id"]
     work = Workspace(references[0].child.sparkSession, "orphans")
     # Written once, as the range partitioning reads its input twice and keys are costly to make.
     stream = work.write(reduce(DataFrame.unionByName, both), "stream")
-    found = work.write(stream.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_merge, _OUT), "found")
+    found = work.write(stream.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merge, _OUT), "found")
     work.drop(stream)
 
     # What the slices before hand on to a key at a border: the row of the last such slice, running over all of them.
@@ -100,7 +133,7 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     settled = open_.join(F.broadcast(c), (F.col("c_rel") == F.col("rel")) & (F.col("c_key") == F.col("key")) & at_border, "left")
     names = F.element_at(F.array(*[F.lit(r.name) for r in references]), F.col("rel") + 1)
     return settled.where(F.col("carried").isNull() | (F.col("carried") <= F.col("at_us"))).select(
-        names.alias("reference"), "key", "row_id", "at", (F.col("began") | F.coalesce(F.col("carried") > F.lit(int(_NEVER)), F.lit(False))).alias("began")
+        names.alias("reference"), "key", "row_id", from_micros(F.col("at_us")).alias("at"), (F.col("began") | F.coalesce(F.col("carried") > F.lit(int(_NEVER)), F.lit(False))).alias("began")
     )
 
 

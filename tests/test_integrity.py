@@ -60,3 +60,13 @@ def test_several_references_empty_tables_and_extra_columns(spark):
     wide = Reference("w", some.child.withColumn("slice", F.lit(1)).withColumn("until", F.lit("x")), none.parent.withColumn("at", F.lit(1)))
     both = orphan_references([some, wide]).collect()
     assert sorted((r["reference"], r["row_id"]) for r in both) == [("r", 0), ("r", 1), ("w", 0), ("w", 1)]
+
+
+def test_times_far_from_now(spark):
+    """9999-12-31 as the sign for still valid, years before 1677 and after 2262, and single microseconds."""
+    day, us = datetime, timedelta(microseconds=1)
+    children = [("a", day(2024, 1, 1), 0), ("a", day(1500, 1, 1), 1), ("a", day(1499, 12, 31, 23, 59, 59, 999999), 2), ("b", day(2999, 7, 1), 3), ("b", day(3000, 1, 1), 4), ("b", day(3000, 1, 1) - us, 5)]
+    parents = [("a", day(1500, 1, 1), day(9999, 12, 31), 0), ("b", day(1, 1, 1), day(3000, 1, 1), 1)]
+    ref = Reference("r", spark.createDataFrame(children, "key string, at timestamp_ntz, row_id long"), spark.createDataFrame(parents, PARENT))
+    assert {r["row_id"]: (r["at"], r["began"]) for r in orphan_references([ref]).collect()} == {2: (children[2][1], False), 4: (children[4][1], True)}
+    assert {(r["period"], r["reason"]) for r in orphan_report([ref]).collect()} == {("1499-12", "late"), ("3000-01", "deleted")}
