@@ -37,6 +37,31 @@ def _bin(c: str) -> Column:
     return F.coalesce(F.floor(F.when(x.isNotNull(), bounded)).cast("long"), F.lit(_LEAST).cast("long"))
 
 
+#: Integers up to this size are bins of their own.
+OWN_BIN = 1 << 15
+
+
+def _joint_bin(df: DataFrame, scores: list[str]) -> Column:
+    """A bin number that never falls along the order of ``scores``.
+
+    A bin of the first score may be divided by bins of the second one only if it holds a single value: so are the bins
+    of integers up to OWN_BIN, and of nulls.
+    """
+    first = scores[0]
+    second = _bin(scores[1]) if len(scores) > 1 else F.lit(0).cast("long")
+    shift = F.lit(1 << 21)
+    x = _usable(first)
+    alone = x.isNull()
+    if df.schema[first].dataType.typeName() in ("byte", "short", "integer", "long"):
+        beyond = F.signum(x) * (OWN_BIN + F.floor(F.log1p(F.abs(x) - OWN_BIN) * BINS_PER_E))
+        small = F.abs(x) <= OWN_BIN
+        own = F.when(x.isNull(), F.lit(_LEAST)).when(small, x).otherwise(beyond).cast("long")
+        alone = alone | small
+    else:
+        own = _bin(first)
+    return own * shift + F.when(alone, second).otherwise(F.lit(0).cast("long"))
+
+
 def _thresholds(rows: DataFrame, keys: list[str], joint: Column, n: int, work: Workspace) -> tuple[DataFrame, int]:
     """``__<key>.., __least, __size`` of every group of more than ``n`` rows, and their number.
 
@@ -73,8 +98,7 @@ def top_n_per_group(df: DataFrame, keys: list[str], scores: list[str], tie: str,
     a row that is shuffled for it belongs to a group that isn't among the largest.
     """
     rows = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    # Bins of all scores in one number, compared from the first score on.
-    joint = reduce(lambda a, b: a * F.lit(1 << 21) + b, [_bin(c) for c in scores[:2]])
+    joint = _joint_bin(df, scores)
     thresholds, total = _thresholds(rows, keys, joint, n, Workspace(df.sparkSession, "top-n"))
     survivors = rows.withColumn("__bin", joint)
     if total <= most_broadcast:

@@ -58,3 +58,13 @@ def test_more_wanted_than_spark_limits_by_itself(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     plan = top_n_per_group(df, ["g", "h"], ["a", "b"], "id", 1500)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window ") + plan.count("Window[") >= 2 and "WindowGroupLimit" not in plan
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "double"])
+def test_neighbouring_first_scores_come_before_the_second_score(spark, kind):
+    """A larger first score wins whatever the second one is, also where both scores are close or very large."""
+    rnd = random.Random(5)
+    rows = [("x", 1, rnd.choice([76, 77, 78, 32766, 32767, 32768, 32769, 2_000_000_000, 2_000_000_001, -77, -78]), rnd.random(), i) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("a", F.col("a").cast(kind))
+    for n in (3, 30, 100, 200, 290):
+        assert sorted(r["id"] for r in top_n_per_group(df, ["g", "h"], ["a", "b"], "id", n).collect()) == brute(rows, n)
