@@ -14,6 +14,7 @@ from photoloom.llm.leaks import leaked_items
 from photoloom.llm.subjects import UNCLEAR, Model, assign_subjects, fit_subjects
 from photoloom.llm.tokenizer import VOCABULARY, encode_corpus
 from photoloom.llm.topn import top_n_per_group
+from photoloom.operators.integrity import micros
 from photoloom.session import table
 
 
@@ -29,11 +30,10 @@ def photo_fields() -> list[Field]:
     area = F.col("width").cast("long") * F.col("height")
     taken = F.col("capture_time")
     of_its_own = (taken >= F.lit("2004-01-01 00:00:00").cast("timestamp_ntz")) & F.coalesce(taken <= F.col("scanned_at"), F.lit(True)) & ~taken.eqNullSafe(F.col("mtime"))
-    earliest = F.expr("-(capture_time - timestamp_ntz'2000-01-01 00:00:00')")
     return [
-        Field("dims", (F.col("width") > 0) & (F.col("height") > 0), (area, F.col("scanned_at")), ("width", "height")),
-        Field("size", F.col("size") > 0, (F.col("scanned_at"),), ("size",)),
-        Field("time", of_its_own, (earliest,), ("capture_time",)),
+        Field("dims", (F.col("width") > 0) & (F.col("height") > 0), (area, micros(F.col("scanned_at"))), ("width", "height")),
+        Field("size", F.col("size") > 0, (micros(F.col("scanned_at")),), ("size",)),
+        Field("time", of_its_own, (-micros(taken),), ("capture_time",)),
     ]
 
 

@@ -1,8 +1,11 @@
+import random
+from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from photoloom.llm.consensus import _align, best_fields, consensus_text
+from photoloom.llm.consensus import Field, _align, _profile, best_fields, consensus_text
 from photoloom.llm.queries import photo_fields
 
 SCHEMA = "photo_id long, c string, width int, height int, size long, capture_time timestamp_ntz, mtime timestamp_ntz, scanned_at timestamp_ntz"
@@ -34,11 +37,77 @@ def test_best_fields(spark):
     assert best_fields(df.limit(0), F.col("c"), "photo_id", photo_fields()).count() == 0
 
 
+def test_records_vote_by_rows_without_trust_and_the_nearest_row_wins(spark):
+    """Columns are voted one by one, so the consensus 4 x 3 may be no row's; the nearest existing row comes out."""
+    rows = [(i, "g", w, h) for i, (w, h) in enumerate([(4, 9), (4, 9), (4, 3), (5, 3), (6, 3), (4, None), (None, 3), (None, 3)])]
+    df = spark.createDataFrame(rows, "id long, g string, w int, h int")
+    got = best_fields(df, F.col("g"), "id", [Field("wh", F.lit(True), (), ("w", "h"))]).first()
+    assert (got["wh_id"], got["w"], got["h"], got["n_rows"]) == (2, 4, 3, 8)
+    got = best_fields(df.where("id <> 2"), F.col("g"), "id", [Field("wh", F.col("w") > 0, (), ("w", "h"))]).first()
+    assert (got["wh_id"], got["w"], got["h"]) == (0, 4, 9)
+    hot = spark.range(3000).selectExpr("id", "'hot' as g", "int(id % 700) as w", "int(3) as h")
+    got = best_fields(hot, F.col("g"), "id", [Field("wh", F.lit(True), (F.col("w"),), ("w", "h"))]).first()
+    assert (got["wh_id"], got["w"], got["n_rows"]) == (699, 699, 3000)
+
+
+def align(a, b):
+    return _align(_profile([(list(a), 1)]), list(b), 1)
+
+
 def test_align():
-    assert _align(list("abc"), list("abc")) == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c")]
-    assert _align(list("ac"), list("axyc")) == [(1, 0, "a"), (1, 1, "x"), (1, 2, "y"), (2, 0, "c")]
-    assert _align(list("abc"), list("ac")) == [(1, 0, "a"), (3, 0, "c")]
-    assert _align([], list("ab")) == [(0, 1, "a"), (0, 2, "b")]
+    assert align("abc", "abc") == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c")]
+    assert align("ac", "axyc") == [(1, 0, "a"), (1, 1, "x"), (1, 2, "y"), (2, 0, "c")]
+    assert align("abc", "ac") == [(1, 0, "a"), (3, 0, "c")]
+    assert align("", "ab") == [(0, 1, "a"), (0, 2, "b")]
+
+
+def test_profile_grows_value_by_value():
+    assert _profile([(list("ac"), 2), (list("abc"), 1), (list("abd"), 1)]) == [{"a": 4}, {"b": 2}, {"c": 3, "d": 1}]
+    assert _profile([]) == []
+
+
+def plain_consensus(values):
+    """The consensus of one small group by the definition, without Spark."""
+    firsts = sorted(values.items(), key=lambda x: (-x[1], x[0]))
+    profile, total = _profile([(v.split(" "), n) for v, n in firsts[:64]]), sum(n for _, n in firsts[:64])
+    votes = {}
+    for v, n in values.items():
+        at = {(i, k): t for i, k, t in _align(profile, v.split(" "), total)}
+        for spot in set(at) | {(i + 1, 0) for i in range(len(profile))}:
+            votes.setdefault(spot, Counter())[at.get(spot)] += n
+    line = []
+    for spot in sorted(votes):
+        c = votes[spot]
+        c[None] += sum(values.values()) - sum(c.values())
+        best, n = max(((t, n) for t, n in c.items() if t is not None), key=lambda x: (x[1], x[0]), default=(None, 0))
+        if n > c[None] or (n == c[None] and spot[1] == 0):
+            line.append(best)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return row[-1]
+
+    return min((edits(line, v.split(" ")), -n, v) for v, n in values.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_text_against_the_definition(spark, seed):
+    rnd = random.Random(seed)
+    groups = {}
+    for g in range(12):
+        base = [rnd.choice("abcdef") for _ in range(rnd.randrange(1, 7))]
+        for _ in range(rnd.randrange(2, 100)):
+            v = [rnd.choice("abcdef") if rnd.random() < 0.2 else t for t in base for _ in range(rnd.choice([1, 1, 1, 1, 0, 2]))] or ["z"]
+            groups.setdefault(f"g{g}", Counter())[" ".join(v)] += 1
+    rows = [(g, v) for g, c in groups.items() for v, n in c.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v string")
+    got = {r["group_key"]: r["value"] for r in consensus_text(df, F.col("g"), F.col("v"), " ").collect()}
+    assert got == {g: plain_consensus(c)[2] if len(c) > 1 else next(iter(c)) for g, c in groups.items()}
 
 
 def consensus(spark, rows):
