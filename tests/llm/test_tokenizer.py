@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from photoloom.llm.tokenizer import PATTERN, VOCABULARY, Automaton, byte_aliases, encode_corpus
+from photoloom.llm.tokenizer import PATTERN, VOCABULARY, Automaton, Splitter, byte_aliases, encode_corpus
 
 SPLIT = regex.compile(PATTERN)
 BUILT = Automaton.load()
@@ -69,6 +69,29 @@ def test_automaton_of_any_merges(data):
     assert automaton.encode_word(word) == wanted
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["\n", "\r\n", " ", "\t", "a", "it's", "é", "12", "½", "--", "\x1c", "\x1f", "\u2028", "\u3000", "'ll"]), st.characters(exclude_categories=["Cs"])), max_size=30).map("".join))
+def test_ascii_stretches_are_split_like_the_whole(text):
+    assert Splitter().split(text) == SPLIT.findall(text)
+
+
+def test_ascii_signs():
+    text = "".join(map(chr, range(128))) * 2 + "\n" + "".join(f"a{chr(i)}{chr(j)}" for i in range(128) for j in range(128))
+    assert Splitter().split(text) == SPLIT.findall(text)
+    assert Splitter(r"\p{L}+|.").split("aé b") == ["aé", " ", "b"]
+
+
+def test_tables_say_what_the_merges_do():
+    """A pair of tokens may follow one another just if merging their text gives that pair back."""
+    tokens = {t: i for i, t in enumerate([b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"abca"])}
+    merges = [(b"a", b"b"), (b"b", b"c"), (b"ab", b"c"), (b"c", b"a"), (b"ab", b"ca")]
+    built = Automaton(tokens, merges)
+    for x, i in tokens.items():
+        for y, j in tokens.items():
+            if greedy(x, merges, tokens) == [i] and greedy(y, merges, tokens) == [j]:
+                assert built.arc(built.behind[i], j) == (greedy(x + y, merges, tokens) == [i, j]), (x, y)
+
+
 def test_alias_table():
     alias = byte_aliases()
     assert len(alias) == 256 and alias["A"] == 65 and alias["Ġ"] == 32
