@@ -22,16 +22,15 @@ from photoloom.session import Workspace
 
 #: Leaf entries of a summary, and so of the Ward linkage; more only if a larger subset is wanted.
 LEAF_ENTRIES = 4096
-#: Largest subset: the linkage takes 4 bytes for every pair of 1.5 times as many entries.
-MAX_SUBSET = 8192
+#: Largest subset that is cut from one linkage, which takes 4 bytes for every pair of 1.5 times as many entries. A larger
+#: one is cut within groups, each of them by a tree and linkage of its own.
+DIRECT = 4096
 #: Entries of a tree node.
 BRANCHING = 48
-#: Combinations that are compared with all centres at once.
+#: Combinations that are put into a tree, or compared with all centres, at once.
 BLOCK = 1024
 #: Summaries merged in one task.
 FAN_IN = 8
-#: Records nearest to a centre from which its representative is chosen.
-CANDIDATES = 32
 #: Signs that stand for one categorical value: two values differ in about half of them.
 SIGNS = 32
 
@@ -39,80 +38,93 @@ SIGNS = 32
 @dataclass
 class _Node:
     leaf: bool
-    m: int
     n: np.ndarray
     ls: np.ndarray
     ss: np.ndarray
     child: list
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0.0)
+
+
 class CFTree:
     """Cluster features (count, linear sum, square sum) in a height-balanced tree of at most ``most`` leaf entries."""
 
     def __init__(self, dim: int, most: int, threshold: float = 0.0):
         self.dim, self.most, self.t2 = dim, most, threshold**2
         self.entries = 0
-        self.root = self._node(True)
-
-    def _node(self, leaf: bool) -> _Node:
-        b = BRANCHING + 1
-        return _Node(leaf, 0, np.zeros(b), np.zeros((b, self.dim)), np.zeros(b), [])
-
-    def add(self, n: float, ls: np.ndarray, ss: float) -> None:
-        split = self._insert(self.root, n, ls, ss)
-        if split:
-            self.root = self._node(False)
-            for c in split:
-                self._append(self.root, c.n[: c.m].sum(), c.ls[: c.m].sum(0), c.ss[: c.m].sum(), c)
-        if self.entries > self.most:
+        self.root = _Node(True, np.zeros(0), np.zeros((0, dim)), np.zeros(0), [])
+
+    def add(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        """Puts a block of features into the tree."""
+        nodes = self._insert(self.root, n, ls, ss)
+        while len(nodes) > 1:
+            nodes = self._split(self._above(nodes))
+        self.root = nodes[0]
+        while self.entries > self.most:
             self._rebuild()
 
-    def _append(self, x: _Node, n: float, ls: np.ndarray, ss: float, child: _Node | None = None) -> None:
-        x.n[x.m], x.ls[x.m], x.ss[x.m] = n, ls, ss
-        x.m += 1
-        if child is not None:
-            x.child.append(child)
+    @staticmethod
+    def _above(nodes: list[_Node]) -> _Node:
+        return _Node(False, np.array([c.n.sum() for c in nodes]), np.array([c.ls.sum(0) for c in nodes]), np.array([c.ss.sum() for c in nodes]), nodes)
 
-    def _insert(self, x: _Node, n: float, ls: np.ndarray, ss: float) -> tuple[_Node, _Node] | None:
-        if x.m:
-            d = x.ls[: x.m] / x.n[: x.m, None] - ls / n
-            k = int(np.einsum("ij,ij->i", d, d).argmin())
-            if x.leaf:
-                total = x.n[k] + n
-                s = x.ls[k] + ls
-                mean_square = (x.ss[k] + ss) / total
-                if mean_square - s @ s / total**2 <= self.t2 + 1e-12 * (1 + mean_square):
-                    x.n[k], x.ls[k] = total, s
-                    x.ss[k] += ss
-                    return None
-            else:
-                split = self._insert(x.child[k], n, ls, ss)
-                for j, c in zip([k, x.m], split or [x.child[k]], strict=False):
-                    x.n[j], x.ls[j], x.ss[j] = c.n[: c.m].sum(), c.ls[: c.m].sum(0), c.ss[: c.m].sum()
-                    if j == k:
-                        x.child[k] = c
-                    else:
-                        x.child.append(c)
-                        x.m += 1
+    def _insert(self, x: _Node, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> list[_Node]:
+        """The nodes, one or more, that take the place of ``x``."""
         if x.leaf:
-            self._append(x, n, ls, ss)
-            self.entries += 1
-        return self._split(x) if x.m > BRANCHING else None
-
-    def _split(self, x: _Node) -> tuple[_Node, _Node]:
-        c = x.ls[: x.m] / x.n[: x.m, None]
-        d = ((c[:, None] - c[None]) ** 2).sum(-1)
+            self._absorb(x, n, ls, ss)
+            return self._split(x)
+        to = _squares(ls / n[:, None], x.ls / x.n[:, None]).argmin(1)
+        nodes = []
+        for k, c in enumerate(x.child):
+            own = to == k
+            nodes += self._insert(c, n[own], ls[own], ss[own]) if own.any() else [c]
+        return self._split(self._above(nodes))
+
+    def _joined(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> np.ndarray:
+        """Whether features of these sums are within the threshold."""
+        square = ss / n
+        return square - (ls**2).sum(-1) / n**2 <= self.t2 + 1e-12 * (1 + square)
+
+    def _absorb(self, x: _Node, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        """Adds each row to its nearest entry if that stays within the threshold, else as an entry."""
+        open_ = np.arange(len(n))
+        while len(open_):
+            if len(x.n):
+                k = _squares(ls[open_] / n[open_, None], x.ls / x.n[:, None]).argmin(1)
+                fits = self._joined(x.n[k] + n[open_], x.ls[k] + ls[open_], x.ss[k] + ss[open_])
+                # One row per entry at a time, so that an entry never exceeds the threshold.
+                at, first = np.unique(np.where(fits, k, -1), return_index=True)
+                at, first = at[at >= 0], first[at >= 0]
+                x.n[at] += n[open_[first]]
+                x.ls[at] += ls[open_[first]]
+                x.ss[at] += ss[open_[first]]
+                new = open_[~fits]
+                open_ = np.delete(open_, first)
+            else:
+                new = open_
+            if len(new):
+                close = self._joined(n[new, None] + n[new], ls[new, None] + ls[new], ss[new, None] + ss[new])
+                leads = np.zeros(len(new), bool)
+                for i in range(len(new)):
+                    leads[i] = not (close[i] & leads).any()
+                x.n, x.ls, x.ss = np.append(x.n, n[new[leads]]), np.concatenate([x.ls, ls[new[leads]]]), np.append(x.ss, ss[new[leads]])
+                self.entries += int(leads.sum())
+                open_ = np.setdiff1d(open_, new[leads])
+
+    def _split(self, x: _Node) -> list[_Node]:
+        if len(x.n) <= BRANCHING:
+            return [x]
+        d = _squares(c := x.ls / x.n[:, None], c)
         a, b = np.unravel_index(d.argmax(), d.shape)
         left = d[a] <= d[b]
         left[b] = False
         left[a] = True
         out = []
         for part in (left, ~left):
-            y = self._node(x.leaf)
-            for k in np.flatnonzero(part):
-                self._append(y, x.n[k], x.ls[k], x.ss[k], None if x.leaf else x.child[k])
-            out.append(y)
-        return out[0], out[1]
+            out += self._split(_Node(x.leaf, x.n[part], x.ls[part], x.ss[part], [] if x.leaf else [c for c, p in zip(x.child, part, strict=True) if p]))
+        return out
 
     def leaves(self) -> Iterator[_Node]:
         stack = [self.root]
@@ -125,22 +137,22 @@ class CFTree:
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = list(self.leaves())
-        return np.concatenate([l.n[: l.m] for l in x]), np.concatenate([l.ls[: l.m] for l in x]), np.concatenate([l.ss[: l.m] for l in x])  # noqa: E741
+        return np.concatenate([l.n for l in x]), np.concatenate([l.ls for l in x]), np.concatenate([l.ss for l in x])  # noqa: E741
 
     def _rebuild(self) -> None:
         """Starts a tree with a wider threshold and puts the leaf entries into it."""
         near = []
         for x in self.leaves():
-            if x.m > 1:
-                c = x.ls[: x.m] / x.n[: x.m, None]
-                d = ((c[:, None] - c[None]) ** 2).sum(-1)
+            if len(x.n) > 1:
+                d = _squares(c := x.ls / x.n[:, None], c)
                 np.fill_diagonal(d, np.inf)
                 near.append(d.min(1))
         # A pair of equal counts merged at distance d has a radius of d / 2.
         least = float(np.median(np.concatenate(near))) / 4 if near else 0.0
-        wider = CFTree(self.dim, self.most, np.sqrt(max(least, self.t2 * 1.5, 1e-9)))
-        for n, ls, ss in zip(*self.features(), strict=True):
-            wider.add(n, ls, ss)
+        wider = CFTree(self.dim, 1 << 60, np.sqrt(max(least, self.t2 * 1.5, 1e-9)))
+        n, ls, ss = self.features()
+        for k in range(0, len(n), BLOCK):
+            wider.add(n[k : k + BLOCK], ls[k : k + BLOCK], ss[k : k + BLOCK])
         self.root, self.entries, self.t2 = wider.root, wider.entries, wider.t2
 
 
@@ -148,9 +160,10 @@ def ward_merges(n: np.ndarray, centres: np.ndarray) -> list[tuple[float, int, in
     """Merges of Ward linkage in rising order of height, by nearest-neighbour chains; each names one entry of either side."""
     m = len(n)
     size = n.astype(np.float64).copy()
-    sq = (centres**2).sum(1)
-    d = (np.maximum(sq[:, None] + sq[None] - 2 * centres @ centres.T, 0)).astype(np.float32)
-    d *= (2 * size[:, None] * size[None] / (size[:, None] + size[None])).astype(np.float32)
+    d = np.empty((m, m), np.float32)
+    for k in range(0, m, BLOCK):  # one matrix of 4 bytes a pair
+        own = slice(k, k + BLOCK)
+        d[own] = _squares(centres[own], centres) * (2 * size[own, None] * size / (size[own, None] + size))
     np.fill_diagonal(d, np.inf)
     alive, chain, merges = np.ones(m, bool), [], []
     for _ in range(m - 1):
@@ -198,14 +211,6 @@ def _vectors(hashes: list[np.ndarray], weights: list[float]) -> np.ndarray:
     return np.concatenate([w / np.sqrt(SIGNS) * b for w, b in zip(weights, bits, strict=True)], axis=1)
 
 
-def _summary(n: np.ndarray, ls: np.ndarray, ss: np.ndarray, most: int) -> pd.DataFrame:
-    tree = CFTree(ls.shape[1], most)
-    for x in zip(n, ls, ss, strict=True):
-        tree.add(*x)
-    a, b, c = tree.features()
-    return pd.DataFrame({"n": a, "ls": list(b), "ss": c})
-
-
 def summarise(combinations: DataFrame, hashes: list[str], weights: list[float], mass: float, most: int, work: Workspace) -> DataFrame:
     """At most ``most`` cluster features (``n, ls, ss``) of all combinations."""
     shape = "part int, n double, ls array<double>, ss double"
@@ -218,16 +223,21 @@ def summarise(combinations: DataFrame, hashes: list[str], weights: list[float],
             v = _vectors([f[h].to_numpy() for h in hashes], weights)
             tree = tree or CFTree(v.shape[1], most)
             n = f["rows"].to_numpy(np.float64) ** mass
-            for k, x in zip(n, v, strict=True):
-                tree.add(k, k * x, k * float(x @ x))
+            for k in range(0, len(n), BLOCK):
+                own, x = n[k : k + BLOCK], v[k : k + BLOCK]
+                tree.add(own, own[:, None] * x, own * (x**2).sum(1))
         if tree:
             a, b, c = tree.features()
             yield pd.DataFrame({"part": TaskContext.get().partitionId(), "n": a, "ls": list(b), "ss": c})
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("part", kind="stable")
-        out = _summary(f["n"].to_numpy(), np.stack(f["ls"].to_numpy()), f["ss"].to_numpy(), most)
-        return out.assign(part=int(f["part"].iloc[0]) // FAN_IN)[["part", "n", "ls", "ss"]]
+        n, ls, ss = f["n"].to_numpy(), np.stack(f["ls"].to_numpy()), f["ss"].to_numpy()
+        tree = CFTree(ls.shape[1], most)
+        for k in range(0, len(n), BLOCK):
+            tree.add(n[k : k + BLOCK], ls[k : k + BLOCK], ss[k : k + BLOCK])
+        a, b, c = tree.features()
+        return pd.DataFrame({"part": int(f["part"].iloc[0]) // FAN_IN, "n": a, "ls": list(b), "ss": c})
 
     parts = work.write(combinations.mapInPandas(first, shape), "summaries")
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
@@ -235,95 +245,142 @@ def summarise(combinations: DataFrame, hashes: list[str], weights: list[float],
     return parts
 
 
-def _representatives(candidates: pd.DataFrame, hashes: list[str]) -> pd.DataFrame:
-    """One record per centre: of the candidates the one with most feature values not yet seen, then the nearest.
+class _Combinations:
+    """Distinct feature combinations ``h0.., rows, id`` and what is done with them."""
 
-    Within a group many records are about equally near, as categorical features agree or don't. Groups of fewer
-    candidates choose first.
-    """
-    picked = []
-    for r, own in candidates.sort_values(["centre", "turn"]).groupby("request_id"):
-        seen: list[set] = [set() for _ in hashes]
-        groups = sorted((g for _, g in own.groupby("centre")), key=lambda g: (len(g), int(g["centre"].iloc[0])))
-        for g in groups:
-            values = g[hashes].to_numpy()
-            new = [sum(v not in s for v, s in zip(row, seen, strict=True)) for row in values]
-            k = int(np.argmax(new))
-            for v, s in zip(values[k], seen, strict=True):
-                s.add(v)
-            picked.append((int(r), int(g["centre"].iloc[0]), g["id"].iloc[k]))
-    return pd.DataFrame(picked, columns=["request_id", "centre", "id"])
-
-
-def varied_subset(df: DataFrame, row_id: str, features: dict[str, tuple[Column, float]], sizes: dict[int, int], mass: float = 0.0, leaf_entries: int = LEAF_ENTRIES) -> DataFrame:
+    def __init__(self, table: DataFrame, hashes: list[str], weights: list[float], mass: float, leaf_entries: int, direct: int, work: Workspace):
+        self.table, self.hashes, self.weights, self.mass, self.leaf_entries, self.direct, self.work = table, hashes, weights, mass, leaf_entries, direct, work
+        self.kind = table.schema["id"].dataType.simpleString()
+
+    def centres(self, sizes: list[int]) -> list[np.ndarray]:
+        """Centres of the groups of each size, of one linkage; the groups of a smaller size hold those of a larger one whole."""
+        most = max(self.leaf_entries, max(sizes) * 3 // 2)
+        cf = summarise(self.table, self.hashes, self.weights, self.mass, most, self.work).orderBy("n", "ss", "ls").toPandas()  # ``most`` rows
+        if cf.empty:
+            return [np.zeros((0, 1)) for _ in sizes]
+        n, ls = cf["n"].to_numpy(), np.stack(cf["ls"].to_numpy())
+        merges = ward_merges(n, ls / n[:, None])
+        out = []
+        for k in sizes:
+            g = cut(merges, len(n), k)
+            out.append(np.stack([np.bincount(g, weights=ls[:, j]) for j in range(ls.shape[1])], 1) / np.bincount(g, weights=n)[:, None])
+        return out
+
+    def _nearest(self, centres: list[np.ndarray], best_only: bool) -> DataFrame:
+        """``request, centre, far, id, rows``: every combination's nearest centre, or of each centre and block the nearest combination and all rows."""
+        # Centres are as many as the rows wanted, at most ``direct`` a request.
+        shipped = self.table.sparkSession.sparkContext.broadcast(centres)
+        hashes, weights = self.hashes, self.weights
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in frames:
+                for start in range(0, len(whole), BLOCK):
+                    f = whole.iloc[start : start + BLOCK]
+                    v = _vectors([f[h].to_numpy() for h in hashes], weights)
+                    for r, c in enumerate(shipped.value):
+                        d = _squares(v, c)
+                        at = d.argmin(1)
+                        out = pd.DataFrame({"request": r, "centre": at, "far": d[np.arange(len(v)), at].round(9), "id": f["id"].to_numpy(), "rows": f["rows"].to_numpy()})
+                        if best_only:
+                            sums = out.groupby("centre")["rows"].sum()
+                            out = out.sort_values(["centre", "far", "id"], kind="stable").drop_duplicates("centre")
+                            out["rows"] = out["centre"].map(sums)
+                        yield out
+
+        return self.table.mapInPandas(run, f"request int, centre int, far double, id {self.kind}, rows long")
+
+    def pick(self, sizes: list[int]) -> DataFrame:
+        """``request, id, group_rows`` of the combination nearest to each group centre; ``request`` counts the sizes from 0."""
+        parts = []
+        small = [r for r, k in enumerate(sizes) if k <= self.direct]
+        if small:
+            best = self._nearest(self.centres([sizes[r] for r in small]), True).groupBy("request", "centre").agg(F.min(F.struct("far", "id")).alias("best"), F.sum("rows").alias("group_rows"))
+            number = F.element_at(F.array(*[F.lit(r) for r in small]), F.col("request") + 1)
+            parts.append(best.select(number.alias("request"), F.col("best.id").alias("id"), "group_rows"))
+        for r, k in enumerate(sizes):
+            if k > self.direct:
+                parts.append(self._pick_within(k).select(F.lit(r).alias("request"), "id", "group_rows"))
+        return self.work.write(reduce(DataFrame.unionByName, parts), "picked")
+
+    def _pick_within(self, k: int) -> DataFrame:
+        """A subset too large for one linkage: shares of it are cut within the groups of a coarse cut, as large as the groups are."""
+        top = self.centres([max(2, min(self.direct, -(-2 * k // self.direct)))])
+        nearest = self.work.write(self._nearest(top, False).select("centre", "id").join(self.table, "id"), "within", ["centre"])
+        sizes = [tuple(x) for x in nearest.groupBy("centre").count().orderBy("centre").collect()]  # one row per group
+        total = sum(n for _, n in sizes)
+        parts, given, seen = [], 0, 0
+        for c, n in sizes:
+            seen += n
+            share = min(n, -(-k * seen // total) - given)
+            given += share
+            own = _Combinations(nearest.where(F.col("centre") == c).drop("centre"), self.hashes, self.weights, self.mass, self.leaf_entries, self.direct, self.work)
+            if share == n:
+                parts.append(own.table.select("id", F.col("rows").alias("group_rows")))
+            elif share > 0 and len(sizes) > 1:
+                parts.append(own.pick([share]).select("id", "group_rows"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.table.select("id", F.col("rows").alias("group_rows")).limit(0)
+
+    def farthest(self, k: int, but: DataFrame, n: int) -> DataFrame:
+        """``id`` of the ``n`` combinations that are farthest from their centres, without those of ``but``."""
+        others = self.table.join(but.select("id"), "id", "left_anti")
+        if k > self.direct:
+            return others.orderBy("id").limit(n).select("id")
+        return _Combinations(others, *self._settings())._nearest(self.centres([k]), False).orderBy(F.desc("far"), "id").limit(n).select("id")
+
+    def _settings(self) -> tuple:
+        return self.hashes, self.weights, self.mass, self.leaf_entries, self.direct, self.work
+
+
+def varied_subset(df: DataFrame, row_id: str, features: dict[str, tuple[Column, float]], sizes: dict[int, int], mass: float = 0.0, leaf_entries: int = LEAF_ENTRIES, direct: int = DIRECT) -> DataFrame:
     """``request_id, subset_size, <row_id>, group_rows`` of a varied subset for each request.
 
     ``features`` names categorical columns with their weights; ``sizes`` gives the size for each request id. A
-    null feature is a value of its own. Every subset has exactly its size, or all rows if there are fewer; a row is
-    taken once. Among rows of one combination the smallest id represents it. ``group_rows`` is the number of rows
+    null feature is a value of its own, another one for every combination of the other features, so that records don't
+    look alike for what they lack. Every subset has exactly its size, or all rows if there are fewer; a row is
+    taken once. Each group of the dendrogram, cut at the size wanted, is represented by the combination nearest to its
+    centre, and among rows of one combination by the smallest id. ``group_rows`` is the number of rows
     nearest to the same centre, null for rows that only fill up: where there are fewer groups than wanted, the
     combinations farthest from their centres and then further rows of the combinations come in. Ids must be unique.
-    A size below 1 gives no rows, an empty table none at all.
+    A size below 1 gives no rows, an empty table none at all. A size above ``direct`` is shared out over the groups of a
+    coarser cut by their number of combinations, and each share is cut within its group in the same way.
     """
     spark = df.sparkSession
     wanted = {int(r): int(k) for r, k in sizes.items() if k and k > 0}
-    if max(wanted.values(), default=0) > MAX_SUBSET:
-        raise ValueError(f"a subset of more than {MAX_SUBSET} rows")
     kind = df.schema[row_id].dataType.simpleString()
     out_schema = f"request_id int, subset_size int, `{row_id}` {kind}, group_rows long"
     if not wanted:
         return spark.createDataFrame([], out_schema)
     work = Workspace(spark, "varied")
-    names, weights = list(features), [w for _, w in features.values()]
-    hashes = [f"h{i}" for i in range(len(names))]
-    rows = df.select(F.col(row_id).alias("id"), *[F.xxhash64(F.lit(i), c.isNull(), c).alias(h) for i, (h, (c, _)) in enumerate(zip(hashes, features.values(), strict=True))])
+    weights = [w for _, w in features.values()]
+    hashes = [f"h{i}" for i in range(len(features))]
+    own = [F.xxhash64(F.lit(i), c.isNull(), c) for i, (c, _) in enumerate(features.values())]
+    apart = F.xxhash64(*own)
+    rows = df.select(F.col(row_id).alias("id"), *[F.when(c.isNotNull(), o).otherwise(F.xxhash64(F.lit(i), apart)).alias(h) for i, (h, o, (c, _)) in enumerate(zip(hashes, own, features.values(), strict=True))])
     combinations = work.write(rows.groupBy(*hashes).agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id")), "combinations")
-    most = max(leaf_entries, max(wanted.values()) * 3 // 2)
-    cf = summarise(combinations, hashes, weights, mass, most, work).orderBy("n", "ss", "ls").toPandas()
-    if cf.empty:
+    n = combinations.count()
+    if not n:
         return spark.createDataFrame([], out_schema)
-    n, ls = cf["n"].to_numpy(), np.stack(cf["ls"].to_numpy())
-    merges = ward_merges(n, ls / n[:, None])
-    centres = {}
-    for r, k in wanted.items():
-        g = cut(merges, len(n), k)
-        count = np.bincount(g, weights=n)
-        centres[r] = np.stack([np.bincount(g, weights=ls[:, j]) for j in range(ls.shape[1])], 1) / count[:, None]
-    shipped = spark.sparkContext.broadcast(centres)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for start in range(0, len(whole), BLOCK):
-                f = whole.iloc[start : start + BLOCK]
-                v = _vectors([f[h].to_numpy() for h in hashes], weights)
-                sq = (v**2).sum(1)
-                for r, c in shipped.value.items():
-                    d = sq[:, None] + (c**2).sum(1)[None] - 2 * v @ c.T
-                    at = d.argmin(1)
-                    yield pd.DataFrame({"request_id": r, "centre": at, "far": d[np.arange(len(v)), at].round(9), "rows": f["rows"], "id": f["id"]})
-
-    nearest = work.write(combinations.mapInPandas(assign, f"request_id int, centre int, far double, rows long, id {kind}"), "nearest")
-    near = F.row_number().over(Window.partitionBy("request_id", "centre").orderBy("far", "id"))
-    candidates = nearest.withColumn("turn", near).where(F.col("turn") <= CANDIDATES).join(combinations.select("id", *hashes), "id")
-    group_rows = nearest.groupBy("request_id", "centre").agg(F.sum("rows").alias("group_rows"))
-    picked = _representatives(candidates.toPandas(), hashes)  # at most CANDIDATES for each row wanted
-    got = picked.groupby("request_id").size().to_dict()
-    picks = spark.createDataFrame(picked, f"request_id int, centre int, id {kind}")
-    chosen = work.write(picks.join(group_rows, ["request_id", "centre"]).select("request_id", "id", "group_rows"), "chosen")
-    parts = [chosen]
-    for r, k in wanted.items():
-        lacking = k - got.get(r, 0)
-        if lacking > 0:  # at most MAX_SUBSET rows each
-            own = chosen.where(F.col("request_id") == r)
-            others = nearest.where(F.col("request_id") == r).join(own.select("id"), "id", "left_anti").orderBy(F.desc("far"), "id").limit(lacking)
-            fill = work.write(others.select("request_id", "id", F.lit(None).cast("long").alias("group_rows")), "fill")
-            parts.append(fill)
-            lacking -= fill.count()
+    requests = list(wanted)
+    c = _Combinations(combinations, hashes, weights, mass, leaf_entries, direct, work)
+    few = [r for r in requests if wanted[r] < n]
+    parts = []
+    if few:
+        picked = c.pick([wanted[r] for r in few])
+        got = {few[x["request"]]: x["count"] for x in picked.groupBy("request").count().collect()}
+        parts.append(picked.select(F.element_at(F.array(*[F.lit(r) for r in few]), F.col("request") + 1).alias("request_id"), "id", "group_rows"))
+    none = F.lit(None).cast("long").alias("group_rows")
+    for r in requests:
+        if r in few:
+            lacking = wanted[r] - got.get(r, 0)
             if lacking > 0:
-                firsts = nearest.where(F.col("request_id") == r).select("id")
-                order = F.row_number().over(Window.partitionBy(*hashes).orderBy("id"))
-                more = rows.join(firsts, "id", "left_anti").withColumn("turn", order).where(F.col("turn") <= lacking)
-                parts.append(more.orderBy("turn", "id").limit(lacking).select(F.lit(r).alias("request_id"), "id", F.lit(None).cast("long").alias("group_rows")))
+                own = picked.where(F.col("request") == few.index(r))
+                parts.append(work.write(c.farthest(wanted[r], own, lacking), "fill").select(F.lit(r).alias("request_id"), "id", none))
+            continue
+        parts.append(combinations.select(F.lit(r).alias("request_id"), "id", F.col("rows").alias("group_rows")))
+        lacking = wanted[r] - n
+        if lacking > 0:
+            order = F.row_number().over(Window.partitionBy(*hashes).orderBy("id"))
+            more = rows.join(combinations.select("id"), "id", "left_anti").withColumn("turn", order).where(F.col("turn") <= lacking)
+            parts.append(more.orderBy("turn", "id").limit(lacking).select(F.lit(r).alias("request_id"), "id", none))
     size = F.element_at(F.create_map(*[F.lit(x) for p in wanted.items() for x in p]), F.col("request_id"))
     return reduce(DataFrame.unionByName, parts).select("request_id", size.cast("int").alias("subset_size"), F.col("id").alias(row_id), "group_rows")
-

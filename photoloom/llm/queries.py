@@ -62,8 +62,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_subset(spark: SparkSession, sf: str) -> DataFrame:
     images = table(spark, sf, "master_gallery_images").select("image_id", "primary_master_category", "year", "cluster_id")
     sizes = {r["request_id"]: r["subset_size"] for r in table(spark, sf, "subset_requests").collect()}  # a fixed table of requests
-    cluster = F.when(F.col("cluster_id").isNotNull(), F.struct("year", "cluster_id"))
-    features = {"category": (category_key(F.col("primary_master_category")), 1.0), "year": (F.col("year"), 0.7), "cluster": (cluster, 0.5)}
+    category = category_key(F.col("primary_master_category"))
+    placed = F.col("cluster_id").isNotNull()
+    # A cluster counts within its category too, else one that is in all categories is the nearest record of each.
+    features = {
+        "category": (category, 1.2), "year": (F.col("year"), 0.8), "cluster": (F.when(placed, F.struct("year", "cluster_id")), 0.5),
+        "cluster_in_category": (F.when(placed & category.isNotNull(), F.struct(category, F.col("year"), F.col("cluster_id"))), 1.0),
+    }
     return varied_subset(images, "image_id", features, sizes)
 
 
