@@ -82,10 +82,10 @@ class CFTree:
             nodes += self._insert(c, n[own], ls[own], ss[own]) if own.any() else [c]
         return self._split(self._above(nodes))
 
-    def _joined(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> np.ndarray:
-        """Whether features of these sums are within the threshold."""
+    def _joined(self, n: np.ndarray, norm: np.ndarray, ss: np.ndarray) -> np.ndarray:
+        """Whether features of these sums, ``norm`` being the square of the linear sum, are within the threshold."""
         square = ss / n
-        return square - (ls**2).sum(-1) / n**2 <= self.t2 + 1e-12 * (1 + square)
+        return square - norm / n**2 <= self.t2 + 1e-12 * (1 + square)
 
     def _absorb(self, x: _Node, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
         """Adds each row to its nearest entry if that stays within the threshold, else as an entry."""
@@ -93,7 +93,7 @@ class CFTree:
         while len(open_):
             if len(x.n):
                 k = _squares(ls[open_] / n[open_, None], x.ls / x.n[:, None]).argmin(1)
-                fits = self._joined(x.n[k] + n[open_], x.ls[k] + ls[open_], x.ss[k] + ss[open_])
+                fits = self._joined(x.n[k] + n[open_], ((x.ls[k] + ls[open_]) ** 2).sum(1), x.ss[k] + ss[open_])
                 # One row per entry at a time, so that an entry never exceeds the threshold.
                 at, first = np.unique(np.where(fits, k, -1), return_index=True)
                 at, first = at[at >= 0], first[at >= 0]
@@ -105,7 +105,8 @@ class CFTree:
             else:
                 new = open_
             if len(new):
-                close = self._joined(n[new, None] + n[new], ls[new, None] + ls[new], ss[new, None] + ss[new])
+                own = (ls[new] ** 2).sum(1)
+                close = self._joined(n[new, None] + n[new], own[:, None] + own + 2 * ls[new] @ ls[new].T, ss[new, None] + ss[new])
                 leads = np.zeros(len(new), bool)
                 for i in range(len(new)):
                     leads[i] = not (close[i] & leads).any()
