@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,59 @@ def join_fields(*fields: Column) -> Column:
     return F.concat_ws(" | ", *[F.when(F.trim(f.cast("string")) != "", f.cast("string")) for f in fields])
 
 
+#: Columns whose text counts as evidence, and those of the review search. Fixed values.
+EVIDENCE_FIELDS = ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path", "folder", "dominant_folder")
+REVIEW_FIELDS = (
+    "primary_master_category", "secondary_master_categories", "theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3",
+    "review_flags", "archive_relative_path", "relative_path", "path", "folder", "dominant_folder",
+)
+
+
+def text_fields(columns: list[str], fields: tuple[str, ...] = EVIDENCE_FIELDS) -> Column:
+    """``join_fields`` of those ``fields`` that are among ``columns``; absent ones are empty."""
+    return join_fields(*[F.col(c) for c in fields if c in columns])
+
+
+def escape_html(c: Column) -> Column:
+    """Text for HTML, also inside quoted attributes."""
+    for sign, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(sign), F.lit(written))
+    return c
+
+
+def escape_json(c: Column) -> Column:
+    """The text as a JSON string in quotes; ``</`` can't end a script."""
+    quoted = F.regexp_extract(F.to_json(F.struct(safe(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    return F.replace(quoted, F.lit("</"), F.lit("<\\/"))
+
+
+#: Categories by words of a prompt, the first that applies: parts of the text (without ``words``) or whole words. Fixed values.
+PROMPT_CATEGORIES = (
+    ("Farm Animals", "parts", ("farm animal",)),
+    ("Other / Uncertain", "parts", ("pet",)),
+    ("People and Human Presence", "parts", ("portrait", "people or group")),
+    ("Weather, Light, and Atmosphere", "words", ("sunset", "sunrise", "misty", "foggy", "stormy", "dramatic", "moody", "atmospheric", "weather", "sky")),
+    ("Wildlife", "words", ("bird", "wildlife")),
+    ("Nature Detail", "words", ("flower", "plant", "macro", "texture", "garden", "foliage")),
+    ("Waterside and Harbour", "words", ("harbour", "harbor", "port", "waterside", "river")),
+    ("Place and Travel", "words", ("village", "town", "street", "travel", "architecture", "historic")),
+    ("Other / Uncertain", "words", ("transport", "vehicle", "indoor")),
+    ("Landscape", "words", ("coastal", "countryside", "woodland", "forest", "beach", "shoreline", "landscape")),
+    ("Nature Detail", "words", ("tree",)),
+    ("Nature Detail", "parts", ("abstract visual pattern",)),
+)
+
+
+def prompt_category(prompt: Column) -> Column:
+    """The category that a prompt stands for."""
+    label = normalize(prompt)
+    found = []
+    for category, how, words in PROMPT_CATEGORIES:
+        applies = reduce(lambda a, b: a | b, [F.contains(label, F.lit(w)) for w in words]) if how == "parts" else hits(tokens(label), list(words)) > 0
+        found.append(F.when(applies, category))
+    return F.coalesce(*found, F.lit("Other / Uncertain"))
+
+
 def clean_prompt(c: Column) -> Column:
     """A prompt as a label. The pieces are cut inside words too."""
     text = F.trim(c)

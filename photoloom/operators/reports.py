@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photoloom.functions.text import normalize, review_id, safe
+from photoloom.functions.text import base_name, normalize, review_id, safe
 
 #: The taxonomy in its order. Fixed values.
 CATEGORIES = (
@@ -60,7 +60,7 @@ def mapping_diagnostics(images: DataFrame) -> DataFrame:
     """Per normalised theme, labels and category, nulls included: counts and confidence."""
     norm = images.select(*[normalize(F.col(c)).alias(n) for c, n in (("theme_name", "raw_theme"), ("theme_top_label_1", "top_label_1"), ("theme_top_label_2", "top_label_2"), ("theme_top_label_3", "top_label_3"))], F.col("primary_master_category").alias("assigned_master_category"), confidence().alias("c"), safe(F.col("review_flags")).alias("flags"))
     return norm.groupBy("raw_theme", "top_label_1", "top_label_2", "top_label_3", "assigned_master_category").agg(
-        F.count(F.lit(1)).alias("image_count"), F.round(F.avg("c"), 3).alias("avg_confidence"), F.round(F.min("c"), 3).alias("min_confidence"), F.round(F.max("c"), 3).alias("max_confidence"), F.count_if(F.length("flags") > 0).alias("review_flag_count")
+        F.count(F.lit(1)).alias("image_count"), F.bround(F.avg("c"), 3).alias("avg_confidence"), F.bround(F.min("c"), 3).alias("min_confidence"), F.bround(F.max("c"), 3).alias("max_confidence"), F.count_if(F.length("flags") > 0).alias("review_flag_count")
     )
 
 
@@ -80,16 +80,14 @@ def category_counts(images: DataFrame) -> DataFrame:
 
 
 def theme_matrix(images: DataFrame) -> DataFrame:
-    """Rows per normalised theme, a column with the number of files per category of the taxonomy, and their total.
+    """Rows per normalised theme: files per category of the taxonomy, ``extras`` and ``total``.
 
-    Categories written otherwise count nowhere here; ``theme_matrix_whole`` has them.
+    ``extras`` lists the categories outside the taxonomy as they are written, blank ones included, with their files. Only
+    images without a category are left out, and themes without a file.
     """
-    norm = images.withColumn("raw_theme", normalize(F.col("theme_name")))
-    wide = norm.groupBy("raw_theme").pivot("primary_master_category", list(CATEGORIES)).agg(F.count("file"))
-    filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("long")).alias(c) for c in CATEGORIES]
-    counted = wide.select("raw_theme", *filled)
-    total = sum((F.col(f"`{c}`") for c in CATEGORIES[1:]), F.col(f"`{CATEGORIES[0]}`"))
-    return counted.withColumn("total", total).where("total > 0")
+    whole = theme_matrix_whole(images)
+    extras = F.array_join(F.transform(F.map_entries("extras"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), "; ")
+    return whole.withColumn("extras", extras).where("total > 0")
 
 
 def theme_matrix_whole(images: DataFrame) -> DataFrame:
@@ -117,10 +115,16 @@ def gallery_metrics(images: DataFrame) -> DataFrame:
     c, n = confidence(), F.greatest(F.count(F.lit(1)), F.lit(1))
     low, odd = F.count_if(c < LOW), F.count_if(F.col("primary_master_category") == UNCERTAIN)
     return images.agg(
-        F.count(F.lit(1)).alias("total_images"), F.round(F.avg(c), 3).alias("avg_confidence"), low.alias("low_confidence_count"), F.round(low / n, 3).alias("low_confidence_rate"), odd.alias("uncertain_count"), F.round(odd / n, 3).alias("uncertain_rate")
+        F.count(F.lit(1)).alias("total_images"), F.bround(F.avg(c), 3).alias("avg_confidence"), low.alias("low_confidence_count"), F.bround(low / n, 3).alias("low_confidence_rate"), odd.alias("uncertain_count"), F.bround(odd / n, 3).alias("uncertain_rate")
     )
 
 
+def inclusion_counts(candidates: DataFrame, included: Column, *by: str) -> DataFrame:
+    """Candidates, those that were ``included``, and the others, per group or of all rows."""
+    n, own = F.count(F.lit(1)), F.count_if(included)
+    return candidates.groupBy(*by).agg(n.alias("candidate_count"), own.alias("included_count"), F.greatest(n - own, F.lit(0).cast("long")).alias("excluded_count"))
+
+
 def reason_counts(rows: DataFrame, column: str, n: int = 12, sep: str = ", ") -> DataFrame:
     """The most frequent pieces of a joined column."""
     pieces = rows.select(F.explode(F.split(column, sep)).alias("reason")).where("reason <> ''")
@@ -140,7 +144,7 @@ def evaluate(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
 def accuracy(evaluated: DataFrame) -> DataFrame:
     n = F.count_if("is_matched")
     right = F.count_if(F.col("is_matched") & F.col("is_correct"))
-    return evaluated.agg(F.count(F.lit(1)).alias("gold_rows"), n.alias("matched_rows"), F.count_if(~F.col("is_matched")).alias("unmatched_rows"), right.alias("correct_rows"), F.round(F.when(n > 0, right / n).otherwise(0.0), 6).alias("accuracy"))
+    return evaluated.agg(F.count(F.lit(1)).alias("gold_rows"), n.alias("matched_rows"), F.count_if(~F.col("is_matched")).alias("unmatched_rows"), right.alias("correct_rows"), F.bround(F.when(n > 0, right / n).otherwise(0.0), 6).alias("accuracy"))
 
 
 def confusion(evaluated: DataFrame) -> DataFrame:
@@ -158,10 +162,23 @@ def error_patterns(evaluated: DataFrame, n: int = 12) -> DataFrame:
 # --- review -------------------------------------------------------------------------------------------------------
 
 
+def review_defaults(images: DataFrame) -> DataFrame:
+    """Adds the columns of the review queue that a table lacks, with their defaults."""
+    has = set(images.columns)
+    archive = next((F.col(c) for c in ("relative_path", "path") if c in has), F.lit(""))
+    rows = images if "archive_relative_path" in has else images.withColumn("archive_relative_path", archive)
+    defaults = {
+        "mapping_confidence": F.lit(0.5), "primary_master_category": F.lit(UNCERTAIN), "review_flags": F.lit(""), "year": F.lit("Unknown"),
+        "display_theme_name": F.col("theme_name") if "theme_name" in has else F.lit(""), "file": base_name(safe(F.col("archive_relative_path"))),
+    }
+    return rows.withColumns({c: v for c, v in defaults.items() if c not in has})
+
+
 def review_rows(images: DataFrame, row_id: str) -> DataFrame:
     """Gallery rows with the defaults and the id of the review queue."""
+    images = review_defaults(images)
     year = F.coalesce(F.nullif(F.col("year"), F.lit("")), F.lit("Unknown"))
-    rid = review_id(F.col("path"), F.col("archive_relative_path"), F.col("relative_path"), F.col(row_id))
+    rid = review_id(*[F.col(c) for c in ("path", "archive_relative_path", "relative_path", row_id) if c in images.columns])
     return images.withColumns({"mapping_confidence": F.coalesce(confidence(), F.lit(0.0)), "year": year, "review_id": rid})
 
 

@@ -40,7 +40,7 @@ def top_prompts(themes: DataFrame, cluster: str, prompts: DataFrame, prompt_id:
 
 def representatives(rows: DataFrame, row_id: str, cluster: str, vector: str, themes: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` rows nearest to their centroid; in clusters of at most ``k`` rows, the rows by id."""
-    scored = rows.join(themes, cluster).withColumn("score", F.round(dot(F.col(vector), F.col("centroid")), 4))
+    scored = rows.join(themes, cluster).withColumn("score", F.bround(dot(F.col(vector), F.col("centroid")), 4))
     order = Window.partitionBy(cluster).orderBy(F.when(F.col("n") > k, F.col("score")).desc_nulls_last(), row_id)
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(cluster, F.col("rank").cast("long").alias("rank"), row_id, "score")
@@ -70,6 +70,12 @@ def theme_table(rows: DataFrame, row_id: str, cluster: str, vector: str, folder:
     return all_.select("theme_cluster", F.col("n").alias("image_count"), name.alias("theme_name"), shown.alias("display_theme_name"), *[f"top_label_{i}" for i in (1, 2, 3)], "dominant_folder", *[f"representative_{i}" for i in (1, 2, 3)])
 
 
+def theme_rows(rows: DataFrame, cluster: str, themes: DataFrame, least: int = 6) -> DataFrame:
+    """``rows`` with their theme's number, names and labels, as ``theme_table`` gives them. Themes are few; their size decides the join."""
+    own = themes.select("theme_cluster", "theme_name", "display_theme_name", "top_label_1", "top_label_2", "top_label_3")
+    return merge_small(rows, cluster, least).join(own, "theme_cluster", "left")
+
+
 def _average_linkage(d: np.ndarray, limit: float) -> np.ndarray:
     """Group of each row: clusters at an average distance below ``limit`` are merged, by nearest-neighbour chains."""
     m = len(d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from photoloom.functions.keys import place_key
 from photoloom.functions.text import (
     base_name,
     cache_key,
+    REVIEW_FIELDS,
     clean_prompt,
     display_name,
     first_folder,
+    escape_html,
+    escape_json,
     hits,
-    join_fields,
     normalize,
+    prompt_category,
     review_id,
     safe,
     search_prompt,
@@ -22,9 +27,11 @@ from photoloom.functions.text import (
     split_list,
     stem_key,
     suffix,
+    text_fields,
     tokens,
 )
 from photoloom.operators import dedupe, flags, reports, scoring, search, themes
+from photoloom.operators.numbering import numbered
 from photoloom.plans.evidence import COASTAL_WORDS, KEYWORDS, RURAL_WORDS, evidence_of, score_evidence, second_categories
 from photoloom.plans.prompts import PROMPTS
 from photoloom.plans.sql import SQL
@@ -118,6 +125,11 @@ def theme_table(spark: SparkSession, sf: str) -> DataFrame:
     return themes.theme_table(vectors(spark, sf), "vec_id", "label", "embedding", folder, prompts(spark, sf), "prompt_id", "vector", "prompt", DIM)
 
 
+def theme_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with the names and labels of its theme."""
+    return themes.theme_rows(vectors(spark, sf).select("vec_id", "label"), "label", theme_table(spark, sf))
+
+
 def dominant_folder(spark: SparkSession, sf: str) -> DataFrame:
     return themes.dominant(gallery(spark, sf), ["year", "cluster_id"], first_folder(safe(F.col("relative_path"))), F.col("image_id")).select("year", "cluster_id", F.col("value").alias("folder"), "n")
 
@@ -134,6 +146,20 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.group_rows(dedupe.exact_groups(p), p)
 
 
+def exact_groups_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of exact groups under numbers from 1, as they are written to a list."""
+    p = photos(spark, sf)
+    groups = dedupe.exact_groups(p)
+    numbers = numbered(groups.select("group_id").distinct(), ["group_id"], "number")
+    return dedupe.group_rows(groups, p).join(numbers, "group_id").select("number", "group_id", "keeper", "photo_id", "relpath")
+
+
+def inclusion_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Image files per scan, those that could be read, and the rest."""
+    files = table(spark, sf, "photo_info").where(suffix(F.col("path")).isin(*dedupe.RAW, *dedupe.RENDERED, *dedupe.OTHER_IMAGES))
+    return reports.inclusion_counts(files, (F.col("width") > 0) & (F.col("height") > 0), "batch_id")
+
+
 def exact_keepers(spark: SparkSession, sf: str) -> DataFrame:
     p = photos(spark, sf)
     return dedupe.keepers(dedupe.exact_groups(p), p)
@@ -199,7 +225,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_hits(spark: SparkSession, sf: str) -> DataFrame:
-    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    text = normalize(text_fields(gallery(spark, sf).columns))
     words = gallery(spark, sf).select("image_id", tokens(text).alias("w"))
     return words.select("image_id", F.size("w").cast("long").alias("n_words"), *[hits(F.col("w"), k).cast("long").alias(slug_name(c)) for c, k in KEYWORDS.items()])
 
@@ -212,6 +238,21 @@ def prompt_label_clean(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(spark, sf).select("prompt_id", clean_prompt(F.col("prompt")).alias("label"), normalize(F.col("prompt")).alias("normal"))
 
 
+def prompt_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories of the prompts and of all theme names and labels of the gallery."""
+    g = gallery(spark, sf)
+    texts = reduce(DataFrame.union, [g.select(F.col(c).alias("text")) for c in ("theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3")])
+    every = texts.union(prompts(spark, sf).select("prompt")).where("text is not null").distinct()
+    return every.select("text", prompt_category(F.col("text")).alias("category"))
+
+
+def review_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text that the review search looks through, and how it is written into a page."""
+    g = gallery(spark, sf)
+    text = text_fields(g.columns, REVIEW_FIELDS)
+    return g.select("image_id", text.alias("text"), escape_html(text).alias("html"), F.length(escape_json(text)).cast("long").alias("json_length"))
+
+
 def display_theme_names(spark: SparkSession, sf: str) -> DataFrame:
     g = gallery(spark, sf).where("cluster_id is not null")
     return g.select("image_id", display_name(F.col("theme_top_label_1"), F.col("theme_top_label_2"), first_folder(safe(F.col("relative_path"))), F.col("cluster_id")).alias("name"))
@@ -233,7 +274,7 @@ def evidence_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def secondary_categories(spark: SparkSession, sf: str) -> DataFrame:
-    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    text = normalize(text_fields(gallery(spark, sf).columns))
     words = gallery(spark, sf).select("image_id", "primary_master_category", tokens(text).alias("w"))
     return words.select("image_id", F.array_join(second_categories(F.col("primary_master_category"), F.col("w")), ", ").alias("secondary"))
 
@@ -261,7 +302,7 @@ def suspicion_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def coastal_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Landscapes whose text has words of the coast, with a mark for words of the country."""
-    text = normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")]))
+    text = normalize(text_fields(gallery(spark, sf).columns))
     own = gallery(spark, sf).where("primary_master_category = 'Landscape'").select("image_id", tokens(text).alias("w"))
     return own.where(hits(F.col("w"), COASTAL_WORDS) > 0).select("image_id", (hits(F.col("w"), RURAL_WORDS) > 0).alias("has_rural_terms"))
 
@@ -411,20 +452,34 @@ def stock_reason(spark: SparkSession, sf: str) -> DataFrame:
     return stretched.select("vec_id", scoring.stock_reason().alias("reason"))
 
 
+def top_scores_all_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The best by score, then by its parts, all falling."""
+    scored = _stock(spark, sf).withColumn("score", scoring.stock_score())
+    keys = ["score", "technical_quality", "commercial_usefulness"]
+    rounded = scored.select("vec_id", *[F.bround(k, 2).alias(k) for k in keys])
+    return rounded.orderBy(*[F.desc(k) for k in keys], "vec_id").limit(50)
+
+
+def review_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """The review queue of a table that lacks most of its columns."""
+    bare = gallery(spark, sf).select("image_id", "path", "theme_name")
+    return reports.review_rows(bare, "image_id").select("image_id", "mapping_confidence", "primary_master_category", "review_flags", "archive_relative_path", "display_theme_name", "year", "file")
+
+
 def top_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stock_score(spark, sf).orderBy(F.desc("score"), "vec_id").limit(50).select("vec_id", "score")
 
 
 _QUERIES = [
     search_topk, search_min_score, search_counts, search_score_columns, search_score_map, search_prompts, embedding_todo,
-    cluster_centroids, cluster_top_prompts, cluster_representatives, cluster_misc_merge, cluster_average_linkage, theme_table, dominant_folder,
-    exact_duplicates, exact_keepers, near_pairs_time_window, near_pairs_same_key, near_components, near_minus_exact, gallery_excludes, dedupe_summary,
+    cluster_centroids, cluster_top_prompts, cluster_representatives, cluster_misc_merge, cluster_average_linkage, theme_table, theme_rows, dominant_folder,
+    exact_duplicates, exact_groups_numbered, inclusion_counts, exact_keepers, near_pairs_time_window, near_pairs_same_key, near_components, near_minus_exact, gallery_excludes, dedupe_summary,
     greedy_unique, greedy_top, exclude_anti_join, scan_predicates,
-    normalize_text, token_hits, prompt_label_clean, display_theme_names, text_ids,
+    normalize_text, token_hits, prompt_label_clean, prompt_categories, review_text, display_theme_names, text_ids,
     evidence_ranking, secondary_categories, evidence_lookup, suspicious_mappings, suspicion_counts, coastal_candidates,
     category_summary, mapping_diagnostics, mapping_diagnostics_whole, category_counts, theme_matrix, theme_matrix_whole, audit_sample, gallery_metrics, flag_reason_counts, flagged_rows, union_years, union_years_whole,
-    gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_page_whole, review_metrics, review_kept,
-    pair_softmax_scores, stock_score, stock_reason, top_scores,
+    gold_evaluation, gold_accuracy, gold_confusion, gold_errors, review_queue, review_page, review_page_whole, review_metrics, review_kept, review_defaults,
+    pair_softmax_scores, stock_score, stock_reason, top_scores, top_scores_all_keys,
 ]
 
 

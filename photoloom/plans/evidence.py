@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photoloom.functions.text import hits, join_fields, normalize, tokens
+from photoloom.functions.text import hits, normalize, text_fields, tokens
 from photoloom.operators.reports import CATEGORIES, UNCERTAIN
 
 #: Exact theme and prompt labels by category. Fixed values.
@@ -88,7 +88,7 @@ def merge_rules(given: dict, default: dict) -> dict:
 def score_evidence(images: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """``images`` with ``evidence`` (map of positive scores), ``category``, ``confidence`` and ``flags``.
 
-    Expects the theme, its three labels and the path columns; null ones are empty. The second score is that of the
+    Expects the theme and its three labels; the text is that of EVIDENCE_FIELDS, of which absent and null ones are empty. The second score is that of the
     initial ranking and isn't changed by overrides.
     """
     r = rules or RuleSet()
@@ -96,7 +96,7 @@ def score_evidence(images: DataFrame, rules: RuleSet | None = None) -> DataFrame
     with_text = images.withColumns({
         "__theme": normalize(F.col("theme_name")),
         **{f"__l{i}": normalize(F.col(f"theme_top_label_{i}")) for i in (1, 2, 3)},
-        "__text": normalize(join_fields(*[F.col(c) for c in ("theme_name", "display_theme_name", "theme_top_label_1", "theme_top_label_2", "theme_top_label_3", "relative_path")])),
+        "__text": normalize(text_fields(images.columns)),
     })
     with_hits = with_text.withColumn("__words", tokens(F.col("__text")))
     scores, order = [], []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from photoloom.functions.sql import content_sql, place_sql
-from photoloom.functions.text import CONDITION_PROMPTS, LABEL_WORDS, PROMPT_PIECES, WEAK_SECONDS
+from photoloom.functions.text import CONDITION_PROMPTS, LABEL_WORDS, PROMPT_CATEGORIES, PROMPT_PIECES, REVIEW_FIELDS, WEAK_SECONDS
 from photoloom.operators import scoring
 from photoloom.operators.dedupe import CAMERA_STARTS, DERIVED_PARTS, OTHER_IMAGES, RAW, RENDERED
 from photoloom.operators.reports import CATEGORIES
@@ -103,7 +103,7 @@ sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)"""
 _PROMPT_SCORES = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, prompt_id DESC) AS rank FROM (
   SELECT centres.label, p.vec_id AS prompt_id, round({dot('p.embedding', 'centroid')}, 4) AS score FROM centres, embeddings p WHERE p.vec_id < 24))"""
 _REPS = f"""reps AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN n > 3 THEN score END DESC NULLS LAST, vec_id) AS rank, vec_id, score FROM (
-  SELECT label, n, vec_id, round({dot('embedding', 'centroid')}, 4) AS score FROM embeddings JOIN centres USING (label) JOIN sizes USING (label)))"""
+  SELECT label, n, vec_id, round_even({dot('embedding', 'centroid')}, 4) AS score FROM embeddings JOIN centres USING (label) JOIN sizes USING (label)))"""
 
 _THEMES = f"""WITH {_CENTRES}, {_PROMPT_SCORES}, {_REPS},
 named AS (SELECT label, {", ".join(f"max(CASE WHEN rank = {i} THEN {listed(PROMPTS)}[prompt_id + 1] END) AS top_label_{i}" for i in (1, 2, 3))} FROM ranked WHERE rank <= 3 GROUP BY label),
@@ -198,6 +198,26 @@ named AS (SELECT image_id, array_to_string([x FOR x IN [CASE WHEN c IS NOT NULL
   CASE WHEN sure < 0.7 AND coalesce(review_flags, '') = '' AND c <> 'Other / Uncertain' THEN 'low_confidence_without_flag' END] IF x IS NOT NULL], ', ') AS reasons FROM scores),
 suspicious AS (SELECT * FROM named WHERE reasons <> '')"""
 
+
+
+def _category() -> str:
+    arms = []
+    for category, how, words in PROMPT_CATEGORIES:
+        test = " OR ".join(f"contains(n, {q(w)})" for w in words) if how == "parts" else f"len(list_intersect(w, {listed(words)})) > 0"
+        arms.append(f"WHEN {test} THEN {q(category)}")
+    return f"CASE {' '.join(arms)} ELSE 'Other / Uncertain' END"
+
+
+def _greedy(bits: int) -> str:
+    """A pass over the photos that are near a later one, in their order, with the list of all that are dropped."""
+    return f"""firsts AS (SELECT phash, min(photo_id) AS photo_id FROM photo_info WHERE len(phash) = 4 GROUP BY phash),
+edges AS MATERIALIZED (SELECT a.photo_id AS early, b.photo_id AS late FROM firsts a JOIN firsts b ON a.photo_id < b.photo_id AND {far('a.phash', 'b.phash')} <= {bits}),
+steps AS MATERIALIZED (SELECT early, list(late) AS lates, row_number() OVER (ORDER BY early) AS k FROM edges GROUP BY early),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS dropped UNION ALL
+  SELECT s.k, CASE WHEN list_contains(dropped, early) THEN dropped ELSE list_concat(dropped, lates) END FROM walk w JOIN steps s ON s.k = w.k + 1),
+picked AS (SELECT photo_id FROM firsts WHERE photo_id NOT IN (SELECT unnest(dropped) FROM walk WHERE k = (SELECT max(k) FROM walk)))"""
+
+
 # --- scores ---------------------------------------------------------------------------------------------------------
 
 
@@ -280,23 +300,36 @@ e AS (SELECT primary_master_category, coalesce(archive_relative_path, path, '')
 SELECT primary_master_category AS master_category, count(*) AS image_count, coalesce(string_agg(DISTINCT year, ', ' ORDER BY year), '') AS years_present,
   (SELECT string_agg(theme || ': ' || n, '; ' ORDER BY k) FROM t WHERE t.primary_master_category = own.primary_master_category AND k <= 5) AS top_source_themes,
   (SELECT string_agg(v, '; ' ORDER BY k) FROM e WHERE e.primary_master_category = own.primary_master_category AND k <= 5) AS example_images FROM own GROUP BY primary_master_category""",
-    "mapping_diagnostics": f"SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'{normal(f"theme_top_label_{i}")} AS top_label_{i}' for i in (1, 2, 3))}, primary_master_category AS assigned_master_category, count(*) AS image_count, round(avg({CONF}), 3) AS avg_confidence, round(min({CONF}), 3) AS min_confidence, round(max({CONF}), 3) AS max_confidence, count(CASE WHEN coalesce(review_flags, '') <> '' THEN 1 END) AS review_flag_count FROM master_gallery_images GROUP BY ALL",
-    "theme_matrix": f"SELECT * FROM (SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'count(file) FILTER (primary_master_category = {q(c)}) AS "{c}"' for c in CATEGORIES)}, count(file) FILTER (primary_master_category IN {inside(CATEGORIES)}) AS total FROM master_gallery_images GROUP BY 1) WHERE total > 0",
+    "mapping_diagnostics": f"SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'{normal(f"theme_top_label_{i}")} AS top_label_{i}' for i in (1, 2, 3))}, primary_master_category AS assigned_master_category, count(*) AS image_count, round_even(avg({CONF}), 3) AS avg_confidence, round_even(min({CONF}), 3) AS min_confidence, round_even(max({CONF}), 3) AS max_confidence, count(CASE WHEN coalesce(review_flags, '') <> '' THEN 1 END) AS review_flag_count FROM master_gallery_images GROUP BY ALL",
+    "mapping_diagnostics_whole": f"SELECT {normal('theme_name')} AS raw_theme, {', '.join(f'{normal(f"theme_top_label_{i}")} AS top_label_{i}' for i in (1, 2, 3))}, primary_master_category AS assigned_master_category, count(*) AS image_count, round_even(avg({CONF}), 3) AS avg_confidence, round_even(min({CONF}), 3) AS min_confidence, round_even(max({CONF}), 3) AS max_confidence, count(CASE WHEN coalesce(review_flags, '') <> '' THEN 1 END) AS review_flag_count, list(coalesce(archive_relative_path, path) ORDER BY image_id)[1:8] AS example_images FROM master_gallery_images GROUP BY ALL",
+    "theme_matrix": f"SELECT raw_theme, {', '.join(f'coalesce(sum(n) FILTER (c = {q(c)}), 0)::BIGINT AS "{c}"' for c in CATEGORIES)}, coalesce(string_agg(c || ': ' || n, '; ' ORDER BY c) FILTER (c NOT IN {inside(CATEGORIES)}), '') AS extras, sum(n)::BIGINT AS total FROM (SELECT {normal('theme_name')} AS raw_theme, primary_master_category AS c, count(file) AS n FROM master_gallery_images WHERE primary_master_category IS NOT NULL GROUP BY ALL) GROUP BY raw_theme HAVING sum(n) > 0",
+    "category_counts": "SELECT primary_master_category, count(*) AS n FROM master_gallery_images WHERE primary_master_category IS NOT NULL GROUP BY ALL",
     "audit_sample": f"SELECT primary_master_category, rank, image_id FROM (SELECT *, row_number() OVER (PARTITION BY primary_master_category ORDER BY {CONF} NULLS LAST, display_theme_name NULLS LAST, relative_path NULLS LAST, image_id) AS rank FROM master_gallery_images WHERE primary_master_category IN {inside(CATEGORIES)}) WHERE rank <= 50",
-    "gallery_metrics": f"SELECT count(*) AS total_images, round(avg(c), 3) AS avg_confidence, count(CASE WHEN c < 0.7 THEN 1 END) AS low_confidence_count, round(count(CASE WHEN c < 0.7 THEN 1 END) / greatest(count(*), 1), 3) AS low_confidence_rate, count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) AS uncertain_count, round(count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) / greatest(count(*), 1), 3) AS uncertain_rate FROM (SELECT *, {CONF} AS c FROM master_gallery_images)",
+    "gallery_metrics": f"SELECT count(*) AS total_images, round_even(avg(c), 3) AS avg_confidence, count(CASE WHEN c < 0.7 THEN 1 END) AS low_confidence_count, round_even(count(CASE WHEN c < 0.7 THEN 1 END) / greatest(count(*), 1), 3) AS low_confidence_rate, count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) AS uncertain_count, round_even(count(CASE WHEN primary_master_category = 'Other / Uncertain' THEN 1 END) / greatest(count(*), 1), 3) AS uncertain_rate FROM (SELECT *, {CONF} AS c FROM master_gallery_images)",
     "flag_reason_counts": "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(review_flags, ', ')) AS reason FROM master_gallery_images) WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 12",
     "flagged_rows": "SELECT image_id, year, primary_master_category, review_flags FROM master_gallery_images WHERE review_flags <> ''",
     "union_years": "SELECT year, count(*) AS n, count(CASE WHEN year >= '2015' THEN thumb END) AS n_thumbs, count(DISTINCT theme_name) AS n_themes FROM master_gallery_images WHERE year IS NOT NULL GROUP BY year",
+    "union_years_whole": "SELECT year, count(*) AS n, count(CASE WHEN coalesce(year >= '2015', true) THEN thumb END) AS n_thumbs, count(DISTINCT theme_name) AS n_themes FROM master_gallery_images GROUP BY year",
     "gold_evaluation": f"WITH {_EVAL} SELECT * FROM ev",
-    "gold_accuracy": f"WITH {_EVAL} SELECT count(*) AS gold_rows, count(CASE WHEN is_matched THEN 1 END) AS matched_rows, count(CASE WHEN NOT is_matched THEN 1 END) AS unmatched_rows, count(CASE WHEN is_matched AND is_correct THEN 1 END) AS correct_rows, round(CASE WHEN count(CASE WHEN is_matched THEN 1 END) > 0 THEN count(CASE WHEN is_matched AND is_correct THEN 1 END) / count(CASE WHEN is_matched THEN 1 END) ELSE 0 END, 6) AS accuracy FROM ev",
+    "gold_accuracy": f"WITH {_EVAL} SELECT count(*) AS gold_rows, count(CASE WHEN is_matched THEN 1 END) AS matched_rows, count(CASE WHEN NOT is_matched THEN 1 END) AS unmatched_rows, count(CASE WHEN is_matched AND is_correct THEN 1 END) AS correct_rows, round_even(CASE WHEN count(CASE WHEN is_matched THEN 1 END) > 0 THEN count(CASE WHEN is_matched AND is_correct THEN 1 END) / count(CASE WHEN is_matched THEN 1 END) ELSE 0 END, 6) AS accuracy FROM ev",
     "gold_confusion": f"WITH {_EVAL} SELECT CASE WHEN grouping(correct_category) = 1 THEN 'All' ELSE correct_category END AS correct_category, CASE WHEN grouping(predicted_category) = 1 THEN 'All' ELSE predicted_category END AS predicted_category, count(*) AS n FROM ev WHERE is_matched AND correct_category IS NOT NULL GROUP BY CUBE (correct_category, predicted_category)",
     "gold_errors": f"WITH {_EVAL} SELECT correct_category, predicted_category, count(*) AS n FROM ev WHERE is_matched AND NOT is_correct GROUP BY ALL ORDER BY n DESC, correct_category NULLS FIRST, predicted_category NULLS FIRST LIMIT 12",
     "review_queue": f"WITH {_REVIEW} SELECT image_id, review_id, review_bucket, review_priority, year, mapping_confidence, coalesce(review_flags, '') AS review_flags FROM rows_",
     "review_page": f"WITH {_REVIEW} SELECT review_bucket, year, card, image_id FROM (SELECT *, row_number() OVER (PARTITION BY review_bucket, year ORDER BY review_priority DESC NULLS LAST, mapping_confidence DESC, archive_relative_path NULLS LAST, image_id) AS card FROM rows_) WHERE card <= 20",
+    "review_page_whole": f"WITH {_REVIEW} SELECT review_bucket, year, card, image_id FROM (SELECT *, row_number() OVER (PARTITION BY review_bucket, year ORDER BY review_priority DESC NULLS LAST, mapping_confidence DESC, archive_relative_path NULLS LAST, image_id) AS card FROM rows_) WHERE card <= 500",
     "review_metrics": f"WITH {_REVIEW} SELECT 'bucket' AS kind, review_bucket AS value, {_COUNTS} GROUP BY review_bucket UNION ALL SELECT 'year', year, {_COUNTS} GROUP BY year UNION ALL SELECT 'category', primary_master_category, {_COUNTS} GROUP BY primary_master_category UNION ALL SELECT 'all', NULL, {_COUNTS}",
     "review_kept": "SELECT image_id FROM master_gallery_images WHERE path IN (SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY path ORDER BY consolidated_at DESC, CASE WHEN starts_with(review_bucket, '01') THEN 'keep' ELSE 'maybe' END DESC) AS k, starts_with(review_bucket, '01') AS best FROM master_gallery_images WHERE path IS NOT NULL) WHERE k = 1 AND best)",
     "pair_softmax_scores": f"WITH {_VECTORS} SELECT vec_id, {', '.join(f'round_even({_mode(m)}, 4) AS "{m}"' for m in scoring.MODES)} FROM vectors",
     "stock_score": f"WITH {_SCORED} SELECT vec_id, round_even(s, 4) AS score, round_even(technical_quality, 4) AS technical_quality, round_even(clutter_penalty, 4) AS clutter_penalty FROM scored WHERE s >= 0.35",
     "stock_reason": f"WITH {_STOCK}, stretched AS (SELECT vec_id, {', '.join(f'round(0.5 + 4 * ({n} - 0.5), 6) AS {n}' for n in _SIGNALS)} FROM signals) SELECT vec_id, {_notes()} AS reason FROM stretched",
     "top_scores": f"WITH {_SCORED} SELECT vec_id, round_even(s, 4) AS score FROM scored WHERE s >= 0.35 ORDER BY 2 DESC, 1 LIMIT 50",
+    "theme_rows": f"WITH themes AS ({_THEMES}) SELECT theme_cluster, vec_id, label, theme_name, display_theme_name, top_label_1, top_label_2, top_label_3 FROM embeddings JOIN themes ON theme_cluster = label",
+    "exact_groups_numbered": f"WITH {_PHOTOS} SELECT dense_rank() OVER (ORDER BY group_id) AS number, group_id, CASE WHEN photo_id = keeper_id THEN 'yes' ELSE 'no' END AS keeper, photo_id, relpath FROM exact_groups JOIN ({keepers('exact_groups')}) USING (group_id) JOIN photos USING (photo_id)",
+    "inclusion_counts": f"SELECT batch_id, count(*) AS candidate_count, count(CASE WHEN width > 0 AND height > 0 THEN 1 END) AS included_count, count(*) - count(CASE WHEN width > 0 AND height > 0 THEN 1 END) AS excluded_count FROM photo_info WHERE {suffix('path')} IN {inside((*RAW, *RENDERED, *OTHER_IMAGES))} GROUP BY batch_id",
+    "prompt_categories": f"SELECT text, {_category()} AS category FROM (SELECT text, {normal('text')} AS n, string_split({normal('text')}, ' ') AS w FROM (SELECT theme_name AS text FROM master_gallery_images UNION SELECT theme_top_label_1 FROM master_gallery_images UNION SELECT theme_top_label_2 FROM master_gallery_images UNION SELECT theme_top_label_3 FROM master_gallery_images UNION SELECT unnest({listed(PROMPTS)})) WHERE text IS NOT NULL)",
+    "review_text": f"SELECT image_id, text, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '{chr(34)}', '&quot;'), '{chr(39) * 2}', '&#x27;') AS html, length(replace(to_json(text)::VARCHAR, '</', '<_/')) AS json_length FROM (SELECT image_id, array_to_string([x FOR x IN [{', '.join(c for c in REVIEW_FIELDS if 'folder' not in c)}] IF trim(x) <> ''], ' | ') AS text FROM master_gallery_images)",
+    "review_defaults": f"SELECT image_id, 0.5::DOUBLE AS mapping_confidence, 'Other / Uncertain' AS primary_master_category, '' AS review_flags, path AS archive_relative_path, theme_name AS display_theme_name, 'Unknown' AS year, {base("coalesce(path, '')")} AS file FROM master_gallery_images",
+    "top_scores_all_keys": f"WITH {_SCORED} SELECT vec_id, round_even(s, 2) AS score, round_even(technical_quality, 2) AS technical_quality, round_even(commercial_usefulness, 2) AS commercial_usefulness FROM scored ORDER BY score DESC, technical_quality DESC, commercial_usefulness DESC, vec_id LIMIT 50",
+    "greedy_unique": f"WITH RECURSIVE {_greedy(5)} SELECT photo_id FROM picked",
+    "greedy_top": f"WITH RECURSIVE {_greedy(10)} SELECT photo_id FROM picked ORDER BY photo_id LIMIT 50",
 }
