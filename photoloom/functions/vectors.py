@@ -30,20 +30,32 @@ def hamming(a: Column, b: Column, words: int = 4) -> Column:
     return sum((F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))).cast("int") for i in range(1, words)), F.bit_count(F.element_at(a, 1).bitwiseXOR(F.element_at(b, 1))).cast("int"))
 
 
+def _bits(h: Column, lo: int, hi: int, words: int) -> list[Column]:
+    """Bits lo to hi - 1 of a hash, as one masked word for each word they touch."""
+    out = []
+    for w in range(words):
+        a, b = max(lo, 64 * w), min(hi, 64 * w + 64)
+        if a < b:
+            mask = ((1 << (b - a)) - 1) << (a - 64 * w)
+            out.append(F.element_at(h, w + 1).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")))
+    return out
+
+
 def hash_bands(h: Column, n: int, words: int = 4) -> Column:
     """``n`` keys of a hash, one for each of as many bands: hashes that differ in fewer than ``n`` bits share one."""
-    bits = 64 * words
-    cuts = [round(bits * i / n) for i in range(n + 1)]
-    keys = []
-    for i in range(n):
-        parts = []
-        for w in range(words):
-            lo, hi = max(cuts[i], 64 * w), min(cuts[i + 1], 64 * w + 64)
-            if lo < hi:
-                mask = ((1 << (hi - lo)) - 1) << (lo - 64 * w)
-                parts.append(F.element_at(h, w + 1).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")))
-        keys.append(F.xxhash64(F.lit(i), *parts))
-    return F.array(*keys)
+    cuts = [round(64 * words * i / n) for i in range(n + 1)]
+    return F.array(*[F.xxhash64(F.lit(i), *_bits(h, cuts[i], cuts[i + 1], words)) for i in range(n)])
+
+
+def second_bands(h: Column, band: Column, n: int, words: int = 4) -> Column:
+    """``n`` keys within the band of number ``band``: each takes one cell of every other band.
+
+    They part the remaining bits, so hashes that share the band and differ in fewer than ``n`` bits share one of them too.
+    """
+    cuts = [round(64 * words * i / (n * n)) for i in range(n * n + 1)]
+    cell = lambda i, j: _bits(h, cuts[i * n + j], cuts[i * n + j + 1], words)
+    by_band = [F.array(*[F.xxhash64(F.lit(j), *[x for k in range(n) if k != i for x in cell(k, j)]) for j in range(n)]) for i in range(n)]
+    return F.element_at(F.array(*by_band), band + 1)
 
 
 def pair_softmax(positive: Column, negative: Column) -> Column:

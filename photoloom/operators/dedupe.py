@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from photoloom.functions.keys import content_key
 from photoloom.functions.text import base_name, stem_key, suffix
-from photoloom.functions.vectors import hamming, hash_bands
+from photoloom.functions.vectors import hamming, hash_bands, second_bands
 from photoloom.operators.graph import least_label_components
 from photoloom.session import Workspace
 
@@ -26,6 +26,8 @@ CAMERA_STARTS = ("dsc", "img_", "p", "pxl_", "dji_")
 
 SECONDS = 8
 BITS = 6
+#: Rows under one band of hashes from which second bands split it.
+HOT = 1024
 #: Open edges of a greedy selection that the driver settles in one pass instead of further rounds.
 LAST_EDGES = 100_000
 
@@ -90,20 +92,44 @@ def _classes(photos: DataFrame, keys: list[str]) -> DataFrame:
     return photos.groupBy(*keys).agg(F.min("photo_id").alias("rep"))
 
 
-def _pairs(classes: DataFrame, cell: str, bits: int, more: Column | None = None) -> DataFrame:
+def _met(banded: DataFrame, cells: list[str], order: str, hashes: DataFrame, bands: int, hot: int, work: Workspace) -> DataFrame:
+    """``a_id, b_id`` of rows (``id, <order>, n, band`` and ``cells``) that meet under a band, the one of lower ``order`` first.
+
+    Bands that ``hot`` rows or more share are split by second bands, which lose no pair. ``hashes`` has ``id, phash``; rows
+    with a false ``large`` can't be in such a band.
+    """
+    key = [*cells, "band"]
+    many = banded.where("large").groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= hot).select(*key)
+    many = work.write(many, "hot-bands")
+
+    def pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+        a = rows.select(*key, F.col("id").alias("a_id"), F.col(order).alias("a_order"))
+        b = rows.select(*key, F.col("id").alias("b_id"), F.col(order).alias("b_order"))
+        return a.join(b, key).where("a_order < b_order").select("a_id", "b_id")
+
+    if not many.limit(1).count():
+        return pairs(banded, key).distinct()
+    split = banded.where("large").join(many, key, "left_semi").join(hashes, "id").withColumn("second", F.explode(second_bands(F.col("phash"), F.col("n"), bands)))
+    return pairs(banded.join(many, key, "left_anti"), key).union(pairs(split, [*key, "n", "second"])).distinct()
+
+
+def _pairs(classes: DataFrame, celled: DataFrame, cell: str, bits: int, more: Column | None = None, hot: int = HOT) -> DataFrame:
     """Pairs of classes in one cell whose hashes differ in at most ``bits`` bits.
 
-    Cells of one class are dropped before the hash bands multiply the rows; within a cell classes meet under a band.
+    Cells of one class are dropped before the hash bands multiply the rows; within a cell classes meet under a band. Only
+    ids travel there, the hashes are joined to the pairs.
     """
-    shared = classes.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(cell)
-    banded = classes.join(shared, cell, "left_semi").withColumn("band", F.explode(hash_bands(F.col("phash"), bits + 1)))
-    a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col(f"a.{cell}") == F.col(f"b.{cell}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep")))
-    found = met.withColumn("distance", hamming(F.col("a.phash"), F.col("b.phash"))).where(F.col("distance") <= bits)
-    return (found if more is None else found.where(more)).select(F.col("a.rep").alias("a_id"), F.col("b.rep").alias("b_id"), "distance").distinct()
+    shared = celled.groupBy(cell).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(cell, (F.col("rows") >= hot).alias("large"))
+    banded = celled.join(shared, cell).select(cell, "large", F.col("rep").alias("id"), F.posexplode(hash_bands(F.col("phash"), bits + 1)).alias("n", "band"))
+    hashes = classes.select(F.col("rep").alias("id"), "phash")
+    met = _met(banded, [cell], "id", hashes, bits + 1, hot, Workspace(classes.sparkSession, "pairs"))
+    a, b = classes.alias("a"), classes.alias("b")
+    both = met.join(a, F.col("a_id") == F.col("a.rep")).join(b, F.col("b_id") == F.col("b.rep"))
+    found = both.withColumn("distance", hamming(F.col("a.phash"), F.col("b.phash"))).where(F.col("distance") <= bits)
+    return (found if more is None else found.where(more)).select("a_id", "b_id", "distance")
 
 
-def near_pairs_in_time(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:
+def near_pairs_in_time(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """``a_id, b_id, distance`` of photos taken at most ``seconds`` apart whose hashes differ in at most ``bits`` bits.
 
     Pairs are between the least ids of photos with one hash and time. Every photo lies in the cells of its own and
@@ -114,13 +140,13 @@ def near_pairs_in_time(photos: DataFrame, seconds: int = SECONDS, bits: int = BI
     second = F.floor(F.expr("(unix_date(cast(taken as date)) * 86400L + hour(taken) * 3600 + minute(taken) * 60 + cast(second(taken) as bigint))") / seconds).cast("long")
     celled = classes.withColumn("slot", second).withColumn("cell", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).drop("slot")
     apart = (F.col("b.taken") - F.col("a.taken")).between(F.expr(f"-interval '{seconds}' second"), F.expr(f"interval '{seconds}' second"))
-    return _pairs(celled, "cell", bits, apart)
+    return _pairs(classes, celled, "cell", bits, apart, hot)
 
 
-def near_pairs_by_stem(photos: DataFrame, bits: int = BITS + 2) -> DataFrame:
+def near_pairs_by_stem(photos: DataFrame, bits: int = BITS + 2, hot: int = HOT) -> DataFrame:
     """``a_id, b_id, distance`` of photos with one file stem whose hashes differ in at most ``bits`` bits."""
     classes = _classes(photos.where("phash is not null").withColumn("stem", stem_key(F.col("relpath"))), ["phash", "stem"])
-    return _pairs(classes, "stem", bits)
+    return _pairs(classes, classes, "stem", bits, None, hot)
 
 
 def near_groups(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:
@@ -169,7 +195,7 @@ def _dropped_by_pass(edges: list[tuple]) -> set:
     return out
 
 
-def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: int = 5, top_n: int | None = None, last_edges: int = LAST_EDGES) -> DataFrame:
+def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: int = 5, top_n: int | None = None, last_edges: int = LAST_EDGES, hot: int = HOT) -> DataFrame:
     """``row_id`` of the rows that a pass in ``order`` keeps: those with no kept row before them within ``bits`` bits.
 
     ``order`` is unique. Of equal hashes only the first can be kept. A row is kept once all earlier near rows are
@@ -180,10 +206,11 @@ def greedy_unique(rows: DataFrame, row_id: str, order: str, phash: str, bits: in
     work = Workspace(rows.sparkSession, "greedy")
     firsts = rows.where(F.size(phash) == 4).groupBy(F.col(phash).alias("phash")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(row_id).alias("id"))).alias("f")).select("phash", "f.o", "f.id")
     firsts = work.write(firsts, "firsts")
-    banded = firsts.withColumn("band", F.explode(hash_bands(F.col("phash"), bits + 1)))
-    a, b = banded.alias("a"), banded.alias("b")
-    before = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.o") < F.col("b.o"))).where(hamming(F.col("a.phash"), F.col("b.phash")) <= bits)
-    edges = work.write(before.select(F.col("a.id").alias("early"), F.col("b.id").alias("late")).distinct(), "edges")
+    banded = firsts.select(F.lit(True).alias("large"), "id", "o", F.posexplode(hash_bands(F.col("phash"), bits + 1)).alias("n", "band"))
+    met = _met(banded, [], "o", firsts.select("id", "phash"), bits + 1, hot, work)
+    a, b = firsts.select(F.col("id").alias("a_id"), F.col("phash").alias("a_hash")), firsts.select(F.col("id").alias("b_id"), F.col("phash").alias("b_hash"))
+    near = met.join(a, "a_id").join(b, "b_id").where(hamming(F.col("a_hash"), F.col("b_hash")) <= bits)
+    edges = work.write(near.select(F.col("a_id").alias("early"), F.col("b_id").alias("late")), "edges")
     open_edges, dropped, parts = edges, None, 0
     kind = rows.schema[row_id].dataType.simpleString()
     while (n := open_edges.limit(last_edges + 1).count()) > last_edges:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photoloom.functions.vectors import clamp01, dot, pair_softmax
+from photoloom.functions.vectors import clamp01, pair_softmax
 
 #: Prompt pairs (positive, negative) per mode, and the weights of the mode that has any. Fixed values.
 MODES: dict[str, dict[str, tuple[int, int]]] = {
@@ -34,22 +36,39 @@ NOTES = [
 ]
 
 
+def prompt_scores(vector: Column, prompts: list[list[float]]) -> Column:
+    """The dot products of a vector with a short stated list of prompts, by one matrix product per Arrow batch.
+
+    Null for a null vector, one of another length or one that holds a null.
+    """
+    matrix = np.array(prompts, np.float64).T
+
+    def product(batch: pd.Series) -> pd.Series:
+        out = np.full(len(batch), None, object)
+        rows = [k for k, x in enumerate(batch) if x is not None and len(x) == len(matrix) and not np.isnan(np.asarray(x, np.float64)).any()]
+        if rows:
+            found = np.stack([batch.iloc[k] for k in rows]).astype(np.float64) @ matrix
+            for k, x in zip(rows, found, strict=True):
+                out[k] = x
+        return pd.Series(out)
+
+    return F.pandas_udf(product, "array<double>")(vector)
+
+
 def signals(rows: DataFrame, vector: str, prompts: list[list[float]], pairs: dict[str, tuple[int, int]]) -> DataFrame:
-    """``rows`` with one column per pair. The prompts are a short stated list and become literals."""
-    literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    used = sorted({i for p in pairs.values() for i in p})
-    scored = rows.withColumns({f"__s{i}": dot(F.col(vector), literal(prompts[i])) for i in used})
-    return scored.withColumns({name: pair_softmax(F.col(f"__s{a}"), F.col(f"__s{b}")) for name, (a, b) in pairs.items()}).drop(*[f"__s{i}" for i in used])
+    """``rows`` with one column per pair of prompts."""
+    scored = rows.withColumn("__scores", prompt_scores(F.col(vector), prompts))
+    return scored.withColumns({name: pair_softmax(F.col("__scores")[a], F.col("__scores")[b]) for name, (a, b) in pairs.items()}).drop("__scores")
 
 
-def weighted(weights: dict[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()])
+def weighted(weights: dict[str, float], prefix: str = "") -> Column:
+    return reduce(lambda a, b: a + b, [F.col(prefix + c) * w for c, w in weights.items()])
 
 
-def mode_score(mode: str) -> Column:
-    """The weighted score of a mode, or the mean of its signals."""
+def mode_score(mode: str, prefix: str = "") -> Column:
+    """The weighted score of a mode, or the mean of its signals, whose columns begin with ``prefix``."""
     pairs = MODES[mode]
-    return weighted(MODE_WEIGHTS[mode]) if mode in MODE_WEIGHTS else reduce(lambda a, b: a + b, [F.col(c) for c in pairs]) / len(pairs)
+    return weighted(MODE_WEIGHTS[mode], prefix) if mode in MODE_WEIGHTS else reduce(lambda a, b: a + b, [F.col(prefix + c) for c in pairs]) / len(pairs)
 
 
 def stock_score() -> Column:

@@ -21,6 +21,26 @@ def _lots(queries: DataFrame, query_id: str, vector: str, size: int) -> Iterator
         yield [r[0] for r in lot], np.array([r[1] for r in lot], np.float64)
 
 
+#: Scores that a task holds at once.
+CELLS = 4_000_000
+
+
+def _first_k(scores: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the ``k`` greatest scores of each column, of equal ones the first, as a stable sort gives them."""
+    n = len(scores)
+    if k >= n:
+        return np.argsort(-scores, axis=0, kind="stable")
+    least = np.partition(scores, n - k, axis=0)[n - k]
+    # All rows above the k-th score and the first ones at it: sorted by score, then by row.
+    best = np.empty((k, scores.shape[1]), np.int64)
+    for c in range(scores.shape[1]):
+        s = scores[:, c]
+        above, at = np.flatnonzero(s > least[c]), np.flatnonzero(s == least[c])
+        own = np.concatenate([above, at[: k - len(above)]])
+        best[:, c] = own[np.lexsort((own, -s[own]))]
+    return best
+
+
 def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, min_score: float = 0.0, digits: int = 4, lot: int = LOT) -> DataFrame:
     """``<query_id>, rank, <row_id>, score``: the ``k`` rows of greatest dot product per query, ties by row id.
 
@@ -41,10 +61,14 @@ def top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_i
                 if not len(f):
                     continue
                 own = f[row_id].to_numpy()
-                scores = (np.stack(f[vector].to_numpy()).astype(np.float64) @ q.T).round(digits) + 0.0  # no negative zero
-                best = np.argsort(-scores, axis=0, kind="stable")[:k]
-                found = pd.DataFrame({query_id: np.repeat(np.array(ids, dtype=object), len(best)), row_id: own[best.T.ravel()], "score": np.take_along_axis(scores, best, 0).T.ravel()})
-                yield found[found["score"] >= min_score] if min_score > 0 else found
+                x = np.stack(f[vector].to_numpy()).astype(np.float64)
+                step = max(1, CELLS // len(x))
+                for at in range(0, len(q), step):  # blocks of at most CELLS scores
+                    scores = (x @ q[at : at + step].T).round(digits) + 0.0  # no negative zero
+                    best = _first_k(scores, k)
+                    some = np.array(ids[at : at + step], dtype=object)
+                    found = pd.DataFrame({query_id: np.repeat(some, len(best)), row_id: own[best.T.ravel()], "score": np.take_along_axis(scores, best, 0).T.ravel()})
+                    yield found[found["score"] >= min_score] if min_score > 0 else found
 
         return rows.select(row_id, vector).mapInPandas(run, out)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from photoloom.functions.text import clean_prompt, display_name
 from photoloom.functions.vectors import dot, mean_vector, unit
 from photoloom.operators.search import top_k
+from photoloom.session import Workspace
 
 MISC = "miscellaneous mixed subjects"
 #: Most rows of one group that average linkage takes: it holds 4 bytes for every pair.
@@ -55,8 +56,8 @@ def dominant(rows: DataFrame, group: list[str], value: Column, position: Column)
 def theme_table(rows: DataFrame, row_id: str, cluster: str, vector: str, folder: Column, prompts: DataFrame, prompt_id: str, prompt_vector: str, prompt_text: str, dim: int, least: int = 6) -> DataFrame:
     """One row per theme: size, names, three labels, folder and three representatives."""
     merged = merge_small(rows.withColumn("__folder", folder), cluster, least)
-    themes = centroids(merged, "theme_cluster", vector, dim)
-    labels = top_prompts(themes, "theme_cluster", prompts, prompt_id, prompt_vector).join(F.broadcast(prompts.select(prompt_id, prompt_text)), prompt_id)
+    themes = Workspace(rows.sparkSession, "themes").write(centroids(merged, "theme_cluster", vector, dim), "centroids")  # read by every part below
+    labels = top_prompts(themes, "theme_cluster", prompts, prompt_id, prompt_vector).join(prompts.select(prompt_id, prompt_text), prompt_id)
     labels = labels.groupBy("theme_cluster").agg(*[F.max(F.when(F.col("rank") == i, F.col(prompt_text))).alias(f"top_label_{i}") for i in (1, 2, 3)])
     reps = representatives(merged, row_id, "theme_cluster", vector, themes)
     reps = reps.groupBy("theme_cluster").agg(*[F.max(F.when(F.col("rank") == i, F.col(row_id))).alias(f"representative_{i}") for i in (1, 2, 3)])

@@ -35,7 +35,7 @@ from photoloom.operators.numbering import numbered
 from photoloom.plans.evidence import COASTAL_WORDS, KEYWORDS, RURAL_WORDS, evidence_of, score_evidence, second_categories
 from photoloom.plans.prompts import PROMPTS
 from photoloom.plans.sql import SQL
-from photoloom.session import table
+from photoloom.session import Workspace, table
 
 #: Every QUERY_STEP-th vector is a query; the first N_PROMPTS stand for prompts.
 QUERY_STEP, N_PROMPTS, DIM = 20, 24, 64
@@ -177,22 +177,24 @@ def near_components(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.near_groups(photos(spark, sf))
 
 
+def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The photos, their exact groups and the near groups that are no exact one; groups are read several times, so they are written."""
+    p, work = photos(spark, sf), Workspace(spark, "groups")
+    exact = work.write(dedupe.exact_groups(p), "exact")
+    return p, exact, work.write(dedupe.near_minus_exact(work.write(dedupe.near_groups(p), "near-all"), exact), "near")
+
+
 def near_minus_exact(spark: SparkSession, sf: str) -> DataFrame:
-    p = photos(spark, sf)
-    return dedupe.near_minus_exact(dedupe.near_groups(p), dedupe.exact_groups(p))
+    return _groups(spark, sf)[2]
 
 
 def gallery_excludes(spark: SparkSession, sf: str) -> DataFrame:
-    p = photos(spark, sf)
-    exact = dedupe.exact_groups(p)
-    near = dedupe.near_minus_exact(dedupe.near_groups(p), exact)
+    p, exact, near = _groups(spark, sf)
     return dedupe.excludes(exact, p).union(dedupe.excludes(near, p)).distinct()
 
 
 def dedupe_summary(spark: SparkSession, sf: str) -> DataFrame:
-    p = photos(spark, sf)
-    exact = dedupe.exact_groups(p)
-    near = dedupe.near_minus_exact(dedupe.near_groups(p), exact)
+    p, exact, near = _groups(spark, sf)
     return dedupe.dedupe_summary(p, exact, near, dedupe.excludes(exact, p).union(dedupe.excludes(near, p)).distinct())
 
 
@@ -429,10 +431,9 @@ def prompt_vectors(spark: SparkSession, sf: str) -> list[list[float]]:
 
 
 def pair_softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
-    v, p = vectors(spark, sf), prompt_vectors(spark, sf)
-    for mode, pairs in scoring.MODES.items():
-        v = scoring.signals(v, "embedding", p, pairs).withColumn(mode, F.bround(scoring.mode_score(mode), 4)).drop(*pairs)
-    return v.select("vec_id", *scoring.MODES)
+    pairs = {f"{mode}_{name}": p for mode, own in scoring.MODES.items() for name, p in own.items()}
+    v = scoring.signals(vectors(spark, sf), "embedding", prompt_vectors(spark, sf), pairs)
+    return v.select("vec_id", *[F.bround(scoring.mode_score(mode, f"{mode}_"), 4).alias(mode) for mode in scoring.MODES])
 
 
 def _stock(spark: SparkSession, sf: str) -> DataFrame:

@@ -111,3 +111,22 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["vertex"]: r["component"] for r in least_label_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert {got[v] for v in ids[:200]} == {min(ids[:200])} and {got[1000 + i] for i in range(50)} == {1000}
     assert len(got) == 250
+
+
+def test_hot_bands_are_split_without_losing_pairs(spark):
+    """Nearly blank pictures of one moment share their bands; the pairs are those of all against all."""
+    rnd = random.Random(9)
+    flips = lambda n: sum(1 << b for b in rnd.sample(range(256), n))
+    words = lambda x: [w - (1 << 64) if (w := x >> 64 * k & (1 << 64) - 1) >> 63 else w for k in range(4)]
+    hashes = list({flips(rnd.choice([1, 2, 3, 4, 5, 6])) for _ in range(150)})
+    rows = [(i, f"dir/a{i % 3}.jpg", datetime(2020, 1, 1, 0, 0, i % 5), words(h)) for i, h in enumerate(hashes)]
+    photos = spark.createDataFrame(rows, "photo_id long, relpath string, taken timestamp_ntz, phash array<long>")
+    brute = lambda bits, same: {(i, j) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= bits and same(i, j)}
+    for hot in (2, 1024):
+        assert {(r[0], r[1]) for r in dedupe.near_pairs_in_time(photos, hot=hot).collect()} == brute(6, lambda i, j: True)
+        assert {(r[0], r[1]) for r in dedupe.near_pairs_by_stem(photos, hot=hot).collect()} == brute(8, lambda i, j: i % 3 == j % 3)
+        kept = []
+        for i, x in enumerate(hashes):
+            if all((x ^ hashes[k]).bit_count() > 5 for k in kept):
+                kept.append(i)
+        assert sorted(r[0] for r in dedupe.greedy_unique(photos, "photo_id", "photo_id", "phash", hot=hot).collect()) == kept
