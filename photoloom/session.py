@@ -69,6 +69,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class SharedFiles:
+    """Folders and small files wherever Hadoop reaches them, seen from the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        hadoop = self._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self._conf), hadoop
+
+    def exists(self, path: str) -> bool:
+        fs, at = self._at(path)
+        return fs.exists(at)
+
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder, sorted."""
+        fs, at = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+
+    def text(self, path: str) -> str:
+        fs, at = self._at(path)
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
+
 class Workspace:
     """Intermediate tables of one operator call, written to the shared folder as parquet.
 

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -85,6 +87,12 @@ def test_vector_cache(spark, tmp_path):
     sinks.write_vectors(got, str(tmp_path / "cache"), "k1")
     sinks.write_vectors(got.limit(1), str(tmp_path / "cache"), "k2")
     assert sinks.read_cached(spark, str(tmp_path / "cache"), "k1").count() == 6
+    assert sinks.read_cached(spark, str(tmp_path / "cache"), "k3") is None and sinks.read_cached(spark, str(tmp_path / "none"), "k1") is None
+    got.limit(1).withColumn("cache_key", F.lit("k1")).write.mode("append").partitionBy("cache_key").parquet(str(tmp_path / "cache/vectors"))
+    assert sinks.read_cached(spark, str(tmp_path / "cache"), "k1") is None  # rows that no note counts
+    np.save(tmp_path / "t.npy", np.asfortranarray(x))
+    with pytest.raises(ValueError, match="columns"):
+        files.read_vectors(spark, str(tmp_path / "t.npy"), manifest)
 
 
 def test_embedding_plug_in(spark):
@@ -126,3 +134,69 @@ def test_streams(spark, tmp_path):
     in_batches(windowed_counts(stream, "ts", "event_type", "1 day"), lambda df, k: seen.append(df.agg(F.sum("n")).first()[0] or 0), str(tmp_path / "cp")).awaitTermination()
     in_batches(stream, lambda df, k: seen.append(df.count()), str(tmp_path / "cp2")).awaitTermination()
     assert seen[-1] == spark.read.parquet(source).count() and sum(seen[:-1]) <= seen[-1]
+
+
+def test_plain_scan_and_hashes_in_pieces(spark, tmp_path):
+    make(tmp_path, "a/1.JPG", "b/metadata/3.jpg", "b/5.orf", "c/6.nef")
+    rows = files.scan_plain(spark, f"file:{tmp_path}")
+    assert sorted(r["relpath"] for r in rows.collect()) == ["a/1.JPG", "c/6.nef"]
+    (tmp_path / "big.jpg").write_bytes(b"x" * (3 * files.PIECE + 5))
+    (tmp_path / "same.jpg").write_bytes(b"x" * (3 * files.PIECE + 5))
+    got = {r["relpath"]: r["sha256"] for r in files.with_sha256(files.scan_images(spark, f"file:{tmp_path}")).collect()}
+    assert got["big.jpg"] == got["same.jpg"] == hashlib.sha256(b"x" * (3 * files.PIECE + 5)).hexdigest()
+    gone = spark.createDataFrame([(f"{tmp_path}/no.jpg", 1), (f"{tmp_path}/no2.jpg", 1)], "path string, size long")
+    assert [r["sha256"] for r in files.with_sha256(gone).collect()] == [None, None]
+
+
+def test_only_existing_files(spark, tmp_path):
+    make(tmp_path, "1.jpg", "2.txt")
+    df = spark.createDataFrame([(1, f"{tmp_path}/1.jpg"), (2, f"{tmp_path}/2.txt"), (3, f"{tmp_path}/3.jpg"), (4, None)], "pos int, path string")
+    assert [r["pos"] for r in files.clean_source(df, "pos", existing=True).collect()] == [1]
+    with pytest.raises(ValueError, match="no image"):
+        files.clean_source(df.where("pos > 1"), "pos", existing=True)
+
+
+def test_default_lists(spark, tmp_path):
+    assert len(files.theme_prompts(str(tmp_path / "none"))) == 27 and len(files.theme_prompts(str(tmp_path / "none"), long=True)) == 51
+    assert len(files.search_terms()) == 15
+
+
+def exif(order, tags):
+    pack = lambda kind, *x: struct.pack(order + kind, *x)
+    body, at = b"", 8 + 2 + 12 * len(tags) + 4
+    entries = b""
+    for tag, text in tags.items():
+        raw = text.encode() + b"\0"
+        entries += pack("HHII", tag, 2, len(raw), at + len(body))
+        body += raw
+    block = (b"II*\0" if order == "<" else b"MM\0*") + pack("I", 8) + pack("H", len(tags)) + entries + pack("I", 0) + body
+    return b"\xff\xd8\xff\xe1\0\0Exif\0\0" + block
+
+
+def test_exif_times_and_raw_previews(spark):
+    good = exif("<", {0x0132: "2021:01:01 00:00:00", 0x9003: "2020:05:06 07:08:09"})
+    assert images.exif_times(good) == ["2020:05:06 07:08:09", None, "2021:01:01 00:00:00"]
+    assert images.exif_times(exif(">", {0x9004: "no time"})) == [None, "no time", None]
+    assert images.exif_times(b"") == images.exif_times(None) == images.exif_times(good[:30]) == [None] * 3
+    rows = [("a.jpg", bytearray(good)), ("b.nef", bytearray(good)), ("c.jpg", bytearray(b"none"))]
+    df = spark.createDataFrame(rows, "path string, content binary").withColumn("mtime", F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    got = {r["path"]: str(r["taken"]) for r in images.with_exif(df).collect()}
+    assert got == {"a.jpg": "2020-05-06 07:08:09", "b.nef": "2000-01-01 00:00:00", "c.jpg": "2000-01-01 00:00:00"}
+    jpeg = lambda n: b"\xff\xd8\xff" + b"p" * n + b"\xff\xd9"
+    nested = b"\xff\xd8\xff" + jpeg(4) + b"q" * 50 + b"\xff\xd9"
+    assert images.raw_preview(b"raw" + jpeg(9) + b"--" + nested + jpeg(3)) == nested and images.raw_preview(b"raw") is None
+    decode = images.raw_decoder(lambda: lambda b: np.zeros((1, 1, 3)) if b == nested else None)
+    assert decode(b"raw" + nested + b"tail").shape == (1, 1, 3) and decode(b"raw") is None
+
+
+def test_pages_columns_and_copies(spark, tmp_path):
+    rows = spark.createDataFrame([("B", 2, "x <1>", "b.jpg"), ("A", 1, 'say "hi"', "a'.jpg"), ("B", 1, None, None)], "section string, card int, text string, image string")
+    sinks.write_page(rows, str(tmp_path / "page"), "T & T", "section", "card", ["text"], "image")
+    lines = [x for f in sorted((tmp_path / "page").glob("part*")) for x in f.read_text().splitlines()]
+    assert lines[0].endswith("<title>T &amp; T</title>") and [x for x in lines if x.startswith("<h2>")] == ["<h2>A</h2>", "<h2>B</h2>"]
+    assert lines[2] == '<div class="card"><img loading="lazy" src="a&#x27;.jpg"><p>say &quot;hi&quot;</p></div>' and lines[5].endswith("<p>x &lt;1&gt;</p></div>")
+    assert sinks.insert_first(rows, q=F.lit(1), text=F.lit("t")).columns == ["q", "text", "section", "card", "image"]
+    make(tmp_path, "in/1.jpg")
+    wanted = spark.createDataFrame([(f"{tmp_path}/in/1.jpg", f"{tmp_path}/out/k/1.jpg"), (f"{tmp_path}/in/2.jpg", f"{tmp_path}/out/k/2.jpg")], "a string, b string")
+    assert [r["copied"] for r in sinks.copy_files(wanted, "a", "b").orderBy("source").collect()] == [True, False]
+    assert (tmp_path / "out/k/1.jpg").read_bytes() == (tmp_path / "in/1.jpg").read_bytes()
