@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +45,9 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="photoloom-code-")) / f"{package.name}.zip"
+    folder = tempfile.mkdtemp(prefix="photoloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -62,7 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="photoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -97,10 +103,31 @@ class SharedFiles:
             stream.close()
 
 
+_SCOPES: list[list[Workspace]] = []
+_OPEN: list[Workspace] = []
+
+
+@contextmanager
+def intermediate_tables() -> Iterator[None]:
+    """Deletes at its end what operators called inside it have written to the shared folder; read their results before.
+
+    Without it those tables last as long as the application.
+    """
+    own: list[Workspace] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        for w in own:
+            w.close()
+
+
 class Workspace:
     """Intermediate tables of one operator call, written to the shared folder as parquet.
 
-    Written tables cut the lineage and survive the loss of executors.
+    Written tables cut the lineage and survive the loss of executors. They are deleted when the application ends, or with
+    the innermost ``intermediate_tables`` around the call.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -108,6 +135,10 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._folder = SharedFiles(spark)._at(self.root)
+        _OPEN.append(self)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -125,9 +156,22 @@ class Workspace:
             self._delete(file)
 
     def close(self) -> None:
-        self._delete(self.root)
+        fs, at = self._folder
+        fs.delete(at, True)
+        if self in _OPEN:
+            _OPEN.remove(self)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _close_all() -> None:
+    """Spark's process outlives the last session until Python has ended."""
+    for w in list(_OPEN):
+        try:
+            w.close()
+        except Exception:  # noqa: BLE001 - the process may be gone
+            return
