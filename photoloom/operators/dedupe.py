@@ -113,16 +113,19 @@ def _met(banded: DataFrame, cells: list[str], order: str, hashes: DataFrame, ban
     return pairs(banded.join(many, key, "left_anti"), key).union(pairs(split, [*key, "n", "second"])).distinct()
 
 
-def _pairs(classes: DataFrame, celled: DataFrame, cell: str, bits: int, more: Column | None = None, hot: int = HOT) -> DataFrame:
-    """Pairs of classes in one cell whose hashes differ in at most ``bits`` bits.
+def _pairs(classes: DataFrame, cell: str, cells: Column, bits: int, more: Column | None = None, hot: int = HOT) -> DataFrame:
+    """Pairs of classes that share one of ``cells`` and whose hashes differ in at most ``bits`` bits.
 
     Cells of one class are dropped before the hash bands multiply the rows; within a cell classes meet under a band. Only
     ids travel there, the hashes are joined to the pairs.
     """
+    work = Workspace(classes.sparkSession, "pairs")
+    classes = work.write(classes, "classes")
+    celled = classes.withColumn(cell, F.explode(cells))
     shared = celled.groupBy(cell).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(cell, (F.col("rows") >= hot).alias("large"))
     banded = celled.join(shared, cell).select(cell, "large", F.col("rep").alias("id"), F.posexplode(hash_bands(F.col("phash"), bits + 1)).alias("n", "band"))
     hashes = classes.select(F.col("rep").alias("id"), "phash")
-    met = _met(banded, [cell], "id", hashes, bits + 1, hot, Workspace(classes.sparkSession, "pairs"))
+    met = _met(banded, [cell], "id", hashes, bits + 1, hot, work)
     a, b = classes.alias("a"), classes.alias("b")
     both = met.join(a, F.col("a_id") == F.col("a.rep")).join(b, F.col("b_id") == F.col("b.rep"))
     found = both.withColumn("distance", hamming(F.col("a.phash"), F.col("b.phash"))).where(F.col("distance") <= bits)
@@ -138,15 +141,14 @@ def near_pairs_in_time(photos: DataFrame, seconds: int = SECONDS, bits: int = BI
     """
     classes = _classes(photos.where("phash is not null and taken is not null"), ["phash", "taken"])
     second = F.floor(F.expr("(unix_date(cast(taken as date)) * 86400L + hour(taken) * 3600 + minute(taken) * 60 + cast(second(taken) as bigint))") / seconds).cast("long")
-    celled = classes.withColumn("slot", second).withColumn("cell", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).drop("slot")
     apart = (F.col("b.taken") - F.col("a.taken")).between(F.expr(f"-interval '{seconds}' second"), F.expr(f"interval '{seconds}' second"))
-    return _pairs(classes, celled, "cell", bits, apart, hot)
+    return _pairs(classes, "cell", F.array(second, second + 1), bits, apart, hot)
 
 
 def near_pairs_by_stem(photos: DataFrame, bits: int = BITS + 2, hot: int = HOT) -> DataFrame:
     """``a_id, b_id, distance`` of photos with one file stem whose hashes differ in at most ``bits`` bits."""
     classes = _classes(photos.where("phash is not null").withColumn("stem", stem_key(F.col("relpath"))), ["phash", "stem"])
-    return _pairs(classes, classes, "stem", bits, None, hot)
+    return _pairs(classes, "cell", F.array("stem"), bits, None, hot)
 
 
 def near_groups(photos: DataFrame, seconds: int = SECONDS, bits: int = BITS) -> DataFrame:

@@ -98,7 +98,8 @@ def score_evidence(images: DataFrame, rules: RuleSet | None = None) -> DataFrame
         **{f"__l{i}": normalize(F.col(f"theme_top_label_{i}")) for i in (1, 2, 3)},
         "__text": normalize(text_fields(images.columns)),
     })
-    with_hits = with_text.withColumn("__words", tokens(F.col("__text")))
+    every = sorted({w for own in r.keywords.values() for w in own})
+    with_hits = with_text.withColumn("__words", F.filter(tokens(F.col("__text")), lambda w: w.isin(*every)))
     scores, order = [], []
     for k, c in enumerate(names):
         labels = r.labels.get(c, [])
