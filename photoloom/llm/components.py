@@ -2,8 +2,9 @@
 
 Vertices are hashed into blocks and each edge lies in the grid cell of its two blocks, so that even the edges of a
 vertex with a third of all links are spread over a row and a column of cells. Every round
-  1. runs union-find on the edges of each cell and keeps one edge per vertex to its least partner there;
-  2. exchanges representatives: a vertex has at most one per cell of its row and column, the least becomes its
+  1. runs union-find on the edges of each cell, of a crowded one in parts, and keeps one edge per vertex to its least
+     partner there;
+  2. exchanges representatives: a vertex has at most one per (part of a) cell of its row and column, the least becomes its
      parent and the others are linked to it;
   3. replaces parents by their own parents,
 until no parent changes. Nothing is gathered per vertex beyond its row and column, or on the driver.
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from photoloom.session import Workspace
 
-#: Edges that one grid cell has on average.
+#: Edges that one grid cell has on average; cells of more than CROWDED times as many are split.
 CELL_EDGES = 1 << 16
+CROWDED = 4
+#: Crowded cells that are broadcast; more are joined by key.
+MAX_BROADCAST = 100_000
 
 
 def _least_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +50,20 @@ def _cell(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": ids[moved], "r": roots[moved]})
 
 
+def _parted(cells: DataFrame, n_edges: int, cell_edges: int, work: Workspace) -> DataFrame:
+    """``cells`` with ``part``: the edges of a crowded cell, such as those of a hub, are dealt out by hash."""
+    if n_edges <= CROWDED * cell_edges:  # then no cell is crowded
+        return cells.withColumn("part", F.lit(0))
+    parts = F.ceil(F.col("n") / cell_edges).cast("int").alias("parts")
+    crowded = cells.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED * cell_edges).select("row", "col", parts)
+    crowded = work.write(crowded, "crowded")
+    n = crowded.count()
+    if not n:
+        return cells.withColumn("part", F.lit(0))
+    found = cells.join(F.broadcast(crowded) if n <= MAX_BROADCAST else crowded, ["row", "col"], "left")
+    return found.withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, cell_edges: int = CELL_EDGES, max_rounds: int = 100) -> DataFrame:
     """``vertex, component`` of every vertex with an edge to another one; ``component`` is the least vertex linked to it.
 
@@ -58,11 +76,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, cell_edges: int =
     u, v = F.col(src).cast("long"), F.col(dst).cast("long")
     e = work.write(edges.where(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        g = max(1, math.ceil(math.sqrt(e.count() / cell_edges)))
+        n_edges = e.count()
+        g = max(1, math.ceil(math.sqrt(n_edges / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(g)).cast("int")  # noqa: B023, E731
         cells = e.withColumn("row", block("u")).withColumn("col", block("v"))
-        local = cells.groupBy("row", "col").applyInPandas(_cell, "v long, r long")
-        # At most one representative per cell of the vertex's row and column.
+        local = _parted(cells, n_edges, cell_edges, work).groupBy("row", "col", "part").applyInPandas(_cell, "v long, r long")
+        # At most one representative per part of a cell of the vertex's row and column.
         exchanged = local.groupBy("v").agg(F.array_sort(F.collect_set("r")).alias("rs"))
         exchanged = work.write(exchanged, "exchanged")
         parent = exchanged.select("v", F.element_at("rs", 1).alias("p"))

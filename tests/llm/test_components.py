@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from photoloom.llm import components
 from photoloom.llm.components import connected_components, link_groups
+from photoloom.session import Workspace
 
 
 def brute(edges):
@@ -53,3 +56,18 @@ def test_link_groups(spark):
     assert got == [(3, 3), (3, 5), (3, 9)]
     assert link_groups(records.limit(0), "id", "place", links, "p", "q").count() == 0
     assert link_groups(records, "id", "place", links.limit(0), "p", "q").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_hubs_are_dealt_out(spark, monkeypatch, most):
+    """A hub's cells are split into parts, whether they are broadcast or joined."""
+    monkeypatch.setattr(components, "MAX_BROADCAST", most)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(399, 1000), (5000, 5001)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    work = Workspace(spark, "t")
+    cells = df.selectExpr("a as u", "b as v", "0 as row", "int(b % 2) as col")
+    parted = components._parted(cells, len(edges), 8, work)
+    sizes = [r["n"] for r in parted.groupBy("row", "col", "part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == len(edges) and max(sizes) < 40
+    got = {r["vertex"]: r["component"] for r in components.connected_components(df, "a", "b", cell_edges=8).collect()}
+    assert got == {**dict.fromkeys([*range(400), *range(1000, 1041)], 0), 5000: 5000, 5001: 5000}
