@@ -39,7 +39,7 @@ MAX_BROADCAST = 100_000
 BUCKET_KEYS = 1 << 20
 #: Versions after which the index is written anew as one.
 MAX_VERSIONS = 32
-#: Keys of a batch up to which only the buckets they fall into are read.
+#: Signatures or keys of a batch up to which only the buckets they fall into are read.
 FEW = 256
 
 _WORDS = ["w0", "w1", "w2", "w3"]
@@ -319,9 +319,9 @@ class HistoryIndex:
     def _few(self, t: str, keys: DataFrame) -> DataFrame:
         """The table, or only the buckets that ``keys`` fall into if there are few of those."""
         by = _TABLES[t][0]
-        some = keys.select(by).distinct().limit(FEW + 1).collect()  # at most FEW + 1 numbers
+        some = keys.select(by).limit(FEW + 1).collect()  # at most FEW + 1 rows, without a shuffle
         table = self._table(t).drop("part")
-        return table.where(F.col(by).isin([r[0] for r in some])) if len(some) <= FEW else table
+        return table.where(F.col(by).isin(sorted({r[0] for r in some}))) if len(some) <= FEW else table
 
     def _matched(self, state: dict, exact: DataFrame, keys: DataFrame, hashes: DataFrame) -> DataFrame:
         # One key is the only equality of each join, so that the buckets serve it; the rest is a residual condition.
